@@ -2,61 +2,134 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, which does not survive a 100 TB column.  Here the exact
-linear-interpolated quantile (pandas' default, DuckDB's ``quantile_cont``) is
-found in three bounded steps, all as lazy scalar subqueries:
-
-1. ``percentile_approx`` brackets the target rank: its rank error is at most
-   n / accuracy, so the values at q -/+ 2/accuracy enclose the answer;
-2. one pass counts the non-NULL rows (n) and the rows below the bracket;
-3. only rows inside the bracket are grouped by value (distinct values with
-   their counts, so heavy ties cost one entry) and walked in order to the
-   rows of rank floor(q(n-1)) and ceil(q(n-1)).
-
-Memory per task is O(accuracy) for the sketch and O(n / accuracy) distinct
-values for the band.
+linear-interpolated quantile (pandas' default, SQL ``quantile_cont``) of any
+number of columns and probabilities is found with two scans:
+
+1. one aggregation computes, per column, the non-NULL count and a
+   ``percentile_approx`` bracket around every requested probability (rank
+   error <= n / accuracy, so the values at q -/+ 2/accuracy enclose the
+   answer);
+2. one more scan emits, per row and bracket, either a "below the bracket"
+   marker or the value itself when it falls inside the bracket; a map-side
+   combined ``groupBy(bracket, marker, value).count()`` reduces that to one
+   count per bracket plus O(n / accuracy) distinct in-bracket values.
+
+The driver receives only those small count tables and reads off the values
+at ranks floor(q(n-1)) and ceil(q(n-1)).  A bracket that misses (it cannot
+under the sketch's guarantee) is retried wider.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
 
-DEFAULT_ACCURACY = 100_000
+DEFAULT_ACCURACY = 10_000
+
+
+def exact_quantiles(df: DataFrame, values: Mapping[str, Column | str], probs: Sequence[float],
+                    accuracy: int = DEFAULT_ACCURACY) -> dict[tuple[str, float], float | None]:
+    """Exact quantiles ``{(name, q): value}`` of each value expression (NULL/NaN ignored)."""
+    names = list(values)
+    if not names:
+        return {}
+    exprs = [F.col(f"`{v}`") if isinstance(v, str) else v for v in values.values()]
+    vals = df.select(*[F.when(~F.isnan(e.cast("double")), e.cast("double")).alias(f"v{i}")
+                       for i, e in enumerate(exprs)])
+    counts = vals.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
+    n = {i: counts[f"n{i}"] for i in range(len(names))}
+    result: dict[tuple[str, float], float | None] = {}
+    pending = [(i, q) for i in range(len(names)) for q in probs if n[i] > 0]
+    for i in range(len(names)):
+        if n[i] == 0:
+            for q in probs:
+                result[(names[i], q)] = None
+    delta = 2.0 / accuracy
+    while pending:
+        brackets = _brackets(vals, pending, delta, accuracy)
+        found, missed = _resolve(vals, pending, brackets, n)
+        for (i, q), v in found.items():
+            result[(names[i], q)] = v
+        pending = missed
+        delta *= 8
+    return result
+
+
+def _brackets(vals: DataFrame, keys, delta: float, accuracy: int) -> dict:
+    aggs = []
+    for k, (i, q) in enumerate(keys):
+        lo_q, hi_q = max(q - delta, 0.0), min(q + delta, 1.0)
+        if delta >= 1.0:
+            lo_q, hi_q = 0.0, 1.0
+        aggs.append(F.percentile_approx(f"v{i}", F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias(f"b{k}"))
+    row = vals.agg(*aggs).first()
+    out = {}
+    for k, key in enumerate(keys):
+        lo, hi = row[f"b{k}"]
+        if delta >= 1.0:
+            lo, hi = -math.inf, math.inf
+        out[key] = (lo, hi)
+    return out
+
 
+def _resolve(vals: DataFrame, keys, brackets, n):
+    items = []
+    for k, key in enumerate(keys):
+        i = key[0]
+        lo, hi = brackets[key]
+        v = c(f"v{i}")
+        lo_c = F.lit(lo if math.isfinite(lo) else -1.0e308)
+        hi_c = F.lit(hi if math.isfinite(hi) else 1.0e308)
+        items.append(
+            F.when(v < lo_c, F.struct(F.lit(k).alias("k"), F.lit(True).alias("below"), F.lit(None).cast("double").alias("v")))
+             .when(v <= hi_c, F.struct(F.lit(k).alias("k"), F.lit(False).alias("below"), v.alias("v"))))
+    emitted = vals.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")).select("e.*")
+    rows = emitted.groupBy("k", "below", "v").agg(F.count(F.lit(1)).alias("cnt")).collect()
+    below = {k: 0 for k in range(len(keys))}
+    band: dict[int, list[tuple[float, int]]] = {k: [] for k in range(len(keys))}
+    for r in rows:
+        if r["below"]:
+            below[r["k"]] += r["cnt"]
+        else:
+            band[r["k"]].append((r["v"], r["cnt"]))
+    found, missed = {}, []
+    for k, key in enumerate(keys):
+        i, q = key
+        pos = q * (n[i] - 1)
+        k0, k1 = math.floor(pos), math.ceil(pos)
+        pts = sorted(band[k])
+        v0 = _at_rank(pts, k0 - below[k])
+        v1 = _at_rank(pts, k1 - below[k])
+        if v0 is None or v1 is None:
+            missed.append(key)
+            continue
+        found[key] = v0 + (pos - k0) * (v1 - v0)
+    return found, missed
 
-def _value_at_rank(band_counts: DataFrame, x: str, rank: Column) -> Column:
-    """Value of 0-based ``rank`` (relative to the band start) among the band's
-    (value, count) rows, as a scalar subquery.  The band holds O(n / accuracy)
-    distinct values, so ordering it in one task is bounded by construction."""
-    w = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = band_counts.withColumn("_end", F.sum("cnt").over(w))
-    hit = cum.filter((c("_end") > rank) & ((c("_end") - c("cnt")) <= rank))
-    return hit.agg(F.min(c(x)).cast("double").alias("q")).scalar()
+
+def _at_rank(pts: list[tuple[float, int]], r: int) -> float | None:
+    if r < 0:
+        return None
+    cum = 0
+    for v, cnt in pts:
+        cum += cnt
+        if cum > r:
+            return v
+    return None
 
 
 def exact_quantile(df: DataFrame, x: str, q: float, accuracy: int = DEFAULT_ACCURACY) -> Column:
-    """Exact ``q`` quantile (linear interpolation) of column ``x`` as a scalar Column."""
-    vals = df.select(c(f"`{x}`").cast("double").alias("x")).filter(c("x").isNotNull() & ~F.isnan("x"))
-    delta = 2.0 / accuracy
-    lo_q, hi_q = max(q - delta, 0.0), min(q + delta, 1.0)
-    bracket = vals.agg(F.percentile_approx("x", F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias("b"))
-    lo = bracket.select(c("b")[0]).scalar()
-    hi = bracket.select(c("b")[1]).scalar()
-    counts = vals.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(c("x") < lo, 1)).alias("below"))
-    n = counts.select("n").scalar()
-    below = counts.select("below").scalar()
-    pos = F.lit(q) * (n - 1)
-    k0 = F.floor(pos)
-    k1 = F.ceil(pos)
-    band = vals.filter((c("x") >= lo) & (c("x") <= hi)).groupBy("x").agg(F.count(F.lit(1)).alias("cnt"))
-    v0 = _value_at_rank(band, "x", k0 - below)
-    v1 = _value_at_rank(band, "x", k1 - below)
-    return v0 + (pos - k0) * (v1 - v0)
+    """One exact quantile as a literal Column (runs the two scans now)."""
+    v = exact_quantiles(df, {x: x}, [q], accuracy)[(x, q)]
+    return F.lit(v).cast("double")
 
 
 def column_medians(df: DataFrame, columns: Sequence[str], accuracy: int = DEFAULT_ACCURACY) -> dict[str, Column]:
-    return {x: exact_quantile(df, x, 0.5, accuracy) for x in columns}
+    """Exact medians of many columns in the same two scans, as literal Columns."""
+    res = exact_quantiles(df, {x: x for x in columns}, [0.5], accuracy)
+    return {x: F.lit(res[(x, 0.5)]).cast("double") for x in columns}

@@ -48,10 +48,22 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+DEFAULT_TYPES = {"games_started": "int", "team": "string", "stuff_plus": "double", "command_plus": "double"}
+
+
 def ingest(df: DataFrame, mapping: Mapping[str, str] = RENAME_MAP,
            defaults: Mapping[str, object] = OPTIONAL_DEFAULTS) -> DataFrame:
-    """Raw season source -> panel schema (rename, defaults, NaN -> NULL)."""
-    return nan_to_null(add_defaults(rename_present(df, mapping), defaults))
+    """Raw season source -> panel schema in one projection: rename (P1),
+    NaN -> NULL for floating columns, defaults for absent optional columns (P7)."""
+    cols = []
+    for f in df.schema.fields:
+        x = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            x = F.when(~F.isnan(x), x)
+        cols.append(x.alias(mapping.get(f.name, f.name)))
+    present = {mapping.get(n, n) for n in df.columns}
+    cols += [F.lit(v).cast(DEFAULT_TYPES.get(k, "double")).alias(k) for k, v in defaults.items() if k not in present]
+    return df.select(*cols)
 
 
 def notation_to_units(c: str) -> F.Column:

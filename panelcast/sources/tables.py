@@ -9,9 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Read one Parquet table; selecting ``columns`` here lets the scan prune."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one Parquet table; selecting ``columns`` here lets the scan prune.
+
+    The resolved relation (file listing + footer schema) is kept per session
+    and path, so repeated queries do not list the files again; the landed
+    tables are immutable inputs.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _RELATIONS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _RELATIONS[key] = df
     return df.select(*columns) if columns else df
 
 
