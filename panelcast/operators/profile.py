@@ -82,25 +82,69 @@ def flag_share(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def pairwise_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pearson r for many column pairs over pairwise-complete rows (NULL-safe).
+
+    Each task reduces its rows to the six sufficient sums of every pair
+    (n, sum a, sum b, sum a^2, sum b^2, sum ab) with numpy matrix products --
+    the Gram-matrix pass of a correlation matrix -- and yields one array per
+    partition; Spark adds the arrays position-wise (map-side combined) and
+    finishes r per pair.  One scan, one small shuffle, no per-pair expression
+    tree for the optimiser.  Result: feature_a, feature_b, r (NULL when a side
+    is constant or fewer than two rows are complete).
+    """
+    import numpy as np
+    import pandas as pd
+
+    cols = sorted({x for p in pairs for x in p})
+    idx = {x: i for i, x in enumerate(cols)}
+    ia = np.array([idx[a] for a, _ in pairs])
+    ib = np.array([idx[b] for _, b in pairs])
+    n_stats = 6
+
+    def moments(batches):
+        acc = np.zeros((len(pairs), n_stats))
+        for pdf in batches:
+            v = pdf[cols].to_numpy(dtype="float64", na_value=np.nan)
+            m = ~np.isnan(v)
+            v0 = np.where(m, v, 0.0)
+            mf = m.astype("float64")
+            mm = mf.T @ mf
+            vm = v0.T @ mf
+            v2m = (v0 * v0).T @ mf
+            vv = v0.T @ v0
+            acc[:, 0] += mm[ia, ib]
+            acc[:, 1] += vm[ia, ib]
+            acc[:, 2] += vm[ib, ia]
+            acc[:, 3] += v2m[ia, ib]
+            acc[:, 4] += v2m[ib, ia]
+            acc[:, 5] += vv[ia, ib]
+        yield pd.DataFrame({"m": [acc.ravel()]})
+
+    parts = df.select(*[c(f"`{x}`").cast("double").alias(x) for x in cols]).mapInPandas(moments, "m array<double>")
+    sums = (parts.select(F.posexplode("m").alias("pos", "v"))
+            .groupBy((c("pos") / n_stats).cast("int").alias("k"))
+            .agg(*[F.sum(F.when(c("pos") % n_stats == s_, c("v"))).alias(name)
+                   for s_, name in enumerate(["n", "sa", "sb", "saa", "sbb", "sab"])]))
+    cov = c("sab") - c("sa") * c("sb") / c("n")
+    va = c("saa") - c("sa") * c("sa") / c("n")
+    vb = c("sbb") - c("sb") * c("sb") / c("n")
+    r = F.when((c("n") >= 2) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+    names = df.sparkSession.createDataFrame(
+        [(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, feature_a string, feature_b string")
+    return sums.select("k", r.alias("r")).join(F.broadcast(names), "k").select("feature_a", "feature_b", "r")
+
+
 def target_correlation(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Pearson r of each feature with the target (pairwise-complete rows), one pass."""
-    wide = df.agg(*[F.corr(c(f).cast("double"), c(target).cast("double")).alias(f) for f in features])
-    rows = [F.struct(F.lit(f).alias("feature"), c(f"`{f}`").alias("r")) for f in features]
-    return (wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
-            .withColumn("abs_r", F.abs("r")))
+    out = pairwise_correlations(df, [(f, target) for f in features])
+    return out.select(c("feature_a").alias("feature"), "r", F.abs("r").alias("abs_r"))
 
 
 def correlated_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0.9) -> DataFrame:
-    """A10: feature pairs with |r| above the threshold.
-
-    All n(n-1)/2 correlations are partial aggregates of one scan (the same
-    sums a Gram matrix needs); only the small pair list is produced."""
+    """A10: feature pairs with |r| above the threshold, from one moments pass."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    wide = df.agg(*[F.corr(c(a).cast("double"), c(b).cast("double")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), c(f"p{k}").alias("r"))
-            for k, (a, b) in enumerate(pairs)]
-    out = wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
-    return out.filter(F.abs("r") > threshold)
+    return pairwise_correlations(df, pairs).filter(F.abs("r") > threshold)
 
 
 def quadratic_trend(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -111,9 +155,10 @@ def quadratic_trend(df: DataFrame, x: str, y: str) -> DataFrame:
         c("x").isNotNull() & c("y").isNotNull())
     mean_x = scalars(d.agg(F.avg("x").alias("m")))["m"]
     t = d.select((c("x") - mean_x).alias("u"), "y")
-    s = t.agg(F.count(F.lit(1)).cast("double").alias("s0"), F.sum("u").alias("s1"),
-              F.sum(c("u") ** 2).alias("s2"), F.sum(c("u") ** 3).alias("s3"), F.sum(c("u") ** 4).alias("s4"),
-              F.sum("y").alias("t0"), F.sum(c("u") * c("y")).alias("t1"), F.sum(c("u") ** 2 * c("y")).alias("t2"))
+    u, yv = c("u"), c("y")
+    s = t.agg(F.count(F.lit(1)).cast("double").alias("s0"), F.sum(u).alias("s1"),
+              F.sum(u * u).alias("s2"), F.sum(u * u * u).alias("s3"), F.sum(u * u * u * u).alias("s4"),
+              F.sum(yv).alias("t0"), F.sum(u * yv).alias("t1"), F.sum(u * u * yv).alias("t2"))
     s0, s1, s2, s3, s4, t0, t1, t2 = (c(k) for k in ["s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2"])
 
     def det3(a11, a12, a13, a21, a22, a23, a31, a32, a33):
@@ -129,7 +174,7 @@ def quadratic_trend(df: DataFrame, x: str, y: str) -> DataFrame:
     return out.select(
         c("qa").alias("coef_x2"),
         (c("qb") - 2 * c("qa") * c("mx")).alias("coef_x"),
-        (c("qa") * c("mx") ** 2 - c("qb") * c("mx") + c("qc")).alias("intercept"),
+        (c("qa") * (c("mx") * c("mx")) - c("qb") * c("mx") + c("qc")).alias("intercept"),
     )
 
 
