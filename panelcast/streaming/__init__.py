@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The forecasting work this engine rebuilds is batch only (seasonal source
+files, one refresh per season); it has no watermark, event-time window,
+session or stateful operator, so there is nothing to express with
+Structured Streaming.  New seasons are ingested by reading the landed,
+``season=``-partitioned files (``sources.tables.read_partitioned``).
+"""
