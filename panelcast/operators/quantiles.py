@@ -5,6 +5,7 @@ aggregation buffer, which does not survive a 100 TB column.  Here the exact
 linear-interpolated quantile (pandas' default, SQL ``quantile_cont``) of any
 number of columns and probabilities is found with two scans:
 
+0. the value columns alone are materialised once (reliable checkpoint);
 1. one aggregation computes, per column, the non-NULL count and a
    ``percentile_approx`` bracket around every requested probability (rank
    error <= n / accuracy, so the values at q -/+ 2/accuracy enclose the
@@ -27,6 +28,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.session import ensure_checkpoint_dir
+
 c = F.col
 
 DEFAULT_ACCURACY = 10_000
@@ -41,6 +44,10 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column | str], probs: Se
     exprs = [F.col(f"`{v}`") if isinstance(v, str) else v for v in values.values()]
     vals = df.select(*[F.when(~F.isnan(e.cast("double")), e.cast("double")).alias(f"v{i}")
                        for i, e in enumerate(exprs)])
+    # both scans read the narrow value columns from one reliable checkpoint
+    # instead of recomputing the upstream plan twice
+    ensure_checkpoint_dir(df.sparkSession)
+    vals = vals.checkpoint(eager=True)
     counts = vals.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
     n = {i: counts[f"n{i}"] for i in range(len(names))}
     result: dict[tuple[str, float], float | None] = {}
