@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.exprs import safe_div
 from panelcast.models.baseline import baseline_scored
 from panelcast.models.split import hash_split
 from panelcast.operators.evaluate import (
-    accuracy_bands, bias_rules, directional_accuracy, error_by_flag, error_by_prior_level, error_by_role,
-    error_by_tier, error_quartiles, error_table, intervals,
+    accuracy_bands, bias_rules, deployment_summary, directional_accuracy, error_by_flag, error_by_prior_level,
+    error_by_role, error_by_tier, error_quartiles, error_table, intervals, regression_metrics,
 )
 from panelcast.operators.profile import target_correlation
 from panelcast.operators.rank import top_k
@@ -228,22 +227,5 @@ FROM (
 def eval_metrics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MAE / RMSE / R^2 per split in one pass, with MAE-%-of-mean, outlier class and deployment verdict."""
     s = scored_panel(spark, sf_dir).filter(c(T).isNotNull())
-    e = c(T) - c("predicted")
-    m = s.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs(e)).alias("mae"),
-        F.sqrt(F.avg(e * e)).alias("rmse"),
-        (1 - F.sum(e * e) / (F.sum(c(T) * c(T)) - F.sum(c(T)) * F.sum(c(T)) / F.count(F.lit(1)))).alias("r2"),
-        F.avg(T).alias("mean_actual"),
-        (F.avg((F.signum(c(T) - c("total_strikeouts")) == F.signum(c("predicted") - c("total_strikeouts")))
-               .cast("int")) * 100).alias("directional_pct"),
-        F.avg((F.abs(e) <= 20).cast("int")).alias("within20_share"),
-    )
-    return m.withColumns({
-        "mae_pct_of_mean": c("mae") * 100.0 / c("mean_actual"),
-        "rmse_mae_ratio": safe_div(c("rmse"), c("mae")),
-        "outlier_class": F.when(c("rmse") > c("mae") * 1.2, F.lit("large errors present"))
-                          .otherwise(F.lit("consistent errors")),
-        "verdict": F.when((c("r2") > 0.7) & (c("directional_pct") > 70) & (c("within20_share") > 0.75), F.lit("STRONG"))
-                    .when((c("r2") > 0.5) & (c("directional_pct") > 60), F.lit("GOOD")).otherwise(F.lit("CAUTION")),
-    })
+    m = regression_metrics(s.withColumn("actual", c(T)), group=["split"], prior="total_strikeouts", band=20)
+    return deployment_summary(m)
