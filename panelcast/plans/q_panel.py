@@ -212,7 +212,7 @@ def lookup_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     second-latest season, resolved with a semi-join instead of one filter per key."""
     panel = season_panel(spark, sf_dir)
     prev = panel.agg((F.max("season") - 1).alias("s")).select("s").scalar()
-    keys = periods(panel, SPEC, equal=None).filter(c("season") == prev).select(*KEY)
+    keys = periods(panel, SPEC, equal=prev).select(*KEY)
     return panel.join(keys, KEY, "left_semi").select(*KEY, "total_strikeouts", "next_season_strikeouts")
 
 
