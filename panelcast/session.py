@@ -6,11 +6,16 @@ one in.  ``local_session`` is for tests, the bench and the examples.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "panelcast") -> SparkSession:
     builder = (
@@ -33,14 +38,39 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint directory.
+    """The session's checkpoint folder, set once.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a fresh scratch folder is made.
+    A folder given by ``setCheckpointDir`` or ``spark.checkpoint.dir`` is used
+    as it is.  Where neither is set, a local session gets a scratch folder;
+    a cluster has no shared folder to fall back on, so that is an error.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="panelcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir: executors do not share local folders")
+        path = tempfile.mkdtemp(prefix="panelcast-ckpt-")
+    sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand the package's source to the executors' Python, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    # the driver's own copy; Spark serves it to the executors
+    target = Path(tempfile.mkdtemp(prefix="panelcast-src-")) / "panelcast_src.zip"
+    target.write_bytes(packed.getvalue())
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
