@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from panelcast.llm.common import ROWS
+from panelcast.session import ship_package
 
 LEAF = 6             # bytes that are merged directly
 CACHED = 400_000     # entries of each of a worker's memories
@@ -181,6 +182,7 @@ def tree_bpe(path: str, pattern: str) -> TreeBPE:
 
 
 def _with_column(df: DataFrame, source: str, out: str, kind: T.DataType, arrow: pa.DataType, fn) -> DataFrame:
+    ship_package(df.sparkSession)
     schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, kind)])
     at = df.columns.index(source)
     keep = [i for i, c in enumerate(df.columns) if c != out]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.session import ensure_checkpoint_dir
+from panelcast.session import ensure_checkpoint_dir, ship_package
 
 ROWS = 512          # rows that a task handles at once
 WHITE = b"\t\n\x0b\x0c\r "
@@ -39,6 +39,7 @@ def map_rows(df: DataFrame, fn: Callable[[list[list]], Iterable[tuple]], schema:
              rows: int = ROWS) -> DataFrame:
     """Apply ``fn`` to column lists of at most ``rows`` rows in Arrow batches;
     it yields output tuples."""
+    ship_package(df.sparkSession)
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(kind)

@@ -36,3 +36,39 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narrow.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                          F.sha2(digits.cast("binary"), 256).alias("ids_sha256"),
                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text; learned from rows outside the held-out fold."""
+    from panelcast.llm import subwords
+    from panelcast.llm.common import fold, table
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = subwords.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), "quality", fold("doc_id", 5) != 0)
+    return subwords.score(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text; learned from rows outside the held-out fold."""
+    from panelcast.llm import toxicity
+    from panelcast.llm.common import fold, table
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic", fold("doc_id", 4) != 2)
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; learned from rows outside the held-out fold."""
+    from panelcast.llm import language_id
+    from panelcast.llm.common import fold, table
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language_id.fit(docs, fold("doc_id", 5) != 0)
+    return language_id.identify(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "bits", "rejected")
