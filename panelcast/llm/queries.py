@@ -72,3 +72,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, fold("doc_id", 5) != 0)
     return language_id.identify(docs, model).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "bits", "rejected")
+
+
+@register
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences of at most 2048 ids."""
+    import public_tokenizers as public
+
+    from panelcast.llm import packing
+    from panelcast.llm.common import table
+
+    cut = packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), public.path("byte_bpe_50k.json"), keep_ids=False)
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
