@@ -75,10 +75,12 @@ def train(rows: list[tuple[np.ndarray, int]], prior: float, buckets: int = BUCKE
     if not 0 < ones < len(y):
         mean = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         return Model(np.zeros(buckets), float(np.log(mean / (1 - mean))), buckets, sizes)
-    size = np.array([len(r[0]) for r in rows])
-    idx = np.concatenate([r[0] for r in rows])
-    seen_1 = np.bincount(idx, np.repeat(y, size), buckets)
-    seen = np.bincount(idx, minlength=buckets)
+    # row by row: a row's buckets are distinct, and no array has an entry for every n-gram of every row
+    seen, seen_1 = np.zeros(buckets, np.int64), np.zeros(buckets)
+    for own, label in rows:
+        seen[own] += 1
+        if label:
+            seen_1[own] += 1
     p, q = smoothing + seen_1, smoothing + seen - seen_1
     # document frequencies against the class sizes, so that text length does not tilt the ratio
     ratio = np.log(p / (ones + 2 * smoothing)) - np.log(q / (len(y) - ones + 2 * smoothing))
@@ -86,9 +88,9 @@ def train(rows: list[tuple[np.ndarray, int]], prior: float, buckets: int = BUCKE
     share = ones / len(y)
     chance = np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
     ratio[(seen < least) | (np.abs(seen_1 - seen * share) < clear * chance)] = 0
-    keep = ratio[idx] != 0
-    row = np.repeat(np.arange(len(rows)), size)[keep]
-    idx = idx[keep]
+    chosen = [own[ratio[own] != 0] for own, _ in rows]
+    row = np.repeat(np.arange(len(rows)), [len(c) for c in chosen])
+    idx = np.concatenate(chosen)
     value = ratio[idx]
     weight, bias, g_weight, g_bias = np.zeros(buckets), 0.0, np.full(buckets, 1e-8), 1e-8
     side = np.where(y > 0, 0.5 / ones, 0.5 / (len(y) - ones))
