@@ -84,3 +84,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), public.path("byte_bpe_50k.json"), keep_ids=False)
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the words that repeated 35-word windows cover."""
+    from panelcast.llm import superkmer
+    from panelcast.llm.common import table
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    digests = superkmer.kept_texts(docs).select("h1", "h2", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return superkmer.attach(docs, digests).select("doc_id", "n_words", "n_removed", "kept_sha256")
