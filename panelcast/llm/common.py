@@ -80,3 +80,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def fold(doc_id: str, modulus: int) -> F.Column:
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
+
+
+def grouped(fn: Callable[[tuple, list[tuple]], Iterable[tuple]], keys: int, schema: str):
+    """Body and schema for ``mapInArrow`` over partitions sorted by their first
+    ``keys`` columns: ``fn`` gets one key and its rows' other columns at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    kind = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, rows = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:keys] != open_key:
+                    if rows:
+                        out += fn(open_key, rows)
+                    open_key, rows = row[:keys], []
+                rows.append(row[keys:])
+            if out:
+                yield batch_of(out)
+        if rows and (out := list(fn(open_key, rows))):
+            yield batch_of(out)
+
+    return run, kind
+
+
+def by_key(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """``grouped`` over ``df``, whose first columns must be ``keys``, dealt by them."""
+    ship_package(df.sparkSession)
+    run, kind = grouped(fn, len(keys), schema)
+    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, kind)

@@ -95,3 +95,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     digests = superkmer.kept_texts(docs).select("h1", "h2", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     return superkmer.attach(docs, digests).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are alike to 0.75 or more."""
+    from panelcast.llm import minhash
+    from panelcast.llm.common import table
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

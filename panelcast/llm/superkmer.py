@@ -24,14 +24,11 @@ import hashlib
 from itertools import groupby
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from panelcast.llm.common import map_rows, mix64, partitions, words
-from panelcast.session import ship_package
+from panelcast.llm.common import by_key, map_rows, mix64, words
 
 WINDOW, MER, HOT, CACHED = 35, 5, 512, 400_000
 _HASHES: dict[bytes, int] = {}
@@ -104,37 +101,17 @@ def repeated(group: list[tuple[bytes, int]], window: int) -> list[list[int]]:
     return [sorted(x) for x in out]
 
 
-def _buckets(window: int, schema):
-    """Task body: rows sorted by minimiser, one minimiser at a time."""
-    def run(batches):
-        open_key, rows = None, []
-
-        def close():
-            marks = repeated([(r[0], r[4]) for r in rows], window)
-            return [(r[1], r[2], r[3] + a, r[3] + b) for r, at in zip(rows, marks) for a, b in spans(at, window)]
-
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-        for batch in batches:
-            out = []
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != open_key:
-                    out += close() if rows else []
-                    open_key, rows = key, []
-                rows.append(row)
-            if out:
-                yield batch_of(out)
-        if rows and (out := close()):
-            yield batch_of(out)
+def _bucket(window: int):
+    """Task body for the super-k-mers of one minimiser."""
+    def run(_, rows):
+        marks = repeated([(r[0], r[4]) for r in rows], window)
+        return [(r[1], r[2], r[3] + a, r[3] + b) for r, at in zip(rows, marks) for a, b in spans(at, window)]
     return run
 
 
 def covered(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The distinct texts (h1, h2, text, copies) and the word ranges (h1, h2,
     lo, hi) in them that repeated windows cover."""
-    ship_package(docs.sparkSession)
-    n = partitions(docs.sparkSession)
     texts = (docs.select(*text_key("text"), "text").groupBy("h1", "h2")
              .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
 
@@ -159,11 +136,8 @@ def covered(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HO
 
     travelling = map_rows(texts.join(wanted.hint("merge"), ["h1", "h2"]), packed,
                           "key long, hot boolean, packed binary, h1 long, h2 long, start int, times int")
-    out = "h1 long, h2 long, lo int, hi int"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    kind = T._parse_datatype_string(out)
-    cold = (travelling.where("not hot").select("key", "packed", "h1", "h2", "start", "times")
-            .repartition(n, "key").sortWithinPartitions("key").mapInArrow(_buckets(window, to_arrow_schema(kind)), kind))
+    cold = by_key(travelling.where("not hot").select("key", "packed", "h1", "h2", "start", "times"), ["key"],
+                  _bucket(window), "h1 long, h2 long, lo int, hi int")
 
     # shared by very many: distinct strings, their windows' digests, counts
     many = travelling.where("hot").withColumns({"p1": F.xxhash64("packed"), "p2": F.xxhash64(F.lit(1), "packed")})
