@@ -104,3 +104,30 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm.common import table
 
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    from panelcast.llm import maxscore
+    from panelcast.llm.common import table
+
+    vectors = maxscore.whole_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "embedding", 256.0, "vec_id")
+    best = maxscore.top_k(vectors.where("id % 50 = 0"), vectors, 5)
+    return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+ORACLES["op7_maxscore"] = """
+WITH fine AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+vectors AS (SELECT vec_id, min(v) AS v FROM fine GROUP BY vec_id),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+    FROM vectors q, vectors c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
