@@ -168,3 +168,17 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+@register
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
+    from panelcast.llm import spotsigs
+    from panelcast.llm.common import table
+
+    made = spotsigs.compare_with_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
+    own, edited, after = F.col("own"), F.col("edited_own"), F.col("next_own")
+    return made.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.fingerprint(own).alias("fingerprint"), spotsigs.fingerprint(edited).alias("edited_fingerprint"),
+        spotsigs.likeness(own, edited).alias("near_edited"), spotsigs.likeness(own, after).alias("near_next"))
