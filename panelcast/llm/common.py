@@ -115,3 +115,18 @@ def by_key(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     ship_package(df.sparkSession)
     run, kind = grouped(fn, len(keys), schema)
     return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, kind)
+
+
+def keep_rows(df: DataFrame, column: str, fn: Callable[[list], np.ndarray]) -> DataFrame:
+    """The rows of ``df``, all columns, for whose ``column`` values ``fn``
+    gives true; nothing is shuffled."""
+    ship_package(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                yield part.filter(pa.array(np.asarray(fn(part.column(at).to_pylist()), bool)))
+
+    return df.mapInArrow(run, df.schema)

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import map_rows, mix64
+from panelcast.llm.common import keep_rows, map_rows, mix64
 from panelcast.llm.subwords import Memo, sums, vocabulary
 
 ORDER, UND = 5, "und"
@@ -264,3 +264,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return ((i, *p) for i, p in zip(cols[0], shared.value.predict(cols[1])))
 
     return map_rows(docs.select("doc_id", text), run, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text, lambda texts: [not p[3] for p in shared.value.predict(texts)])

@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import by_key, map_rows, mix64, words, written
@@ -252,3 +252,13 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, text: str = "text", blo
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """One row of ``docs`` per component, that of the smallest doc_id; of rows
+    that share it one.  Rows with null ids stay."""
+    found = near_duplicates(docs, share)
+    stays = written(found.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    one = Window.partitionBy("doc_id").orderBy("doc_id")
+    chosen = (docs.join(stays.hint("merge"), "doc_id").withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row"))
+    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -182,3 +182,37 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         spotsigs.fingerprint(own).alias("fingerprint"), spotsigs.fingerprint(edited).alias("edited_fingerprint"),
         spotsigs.likeness(own, edited).alias("near_edited"), spotsigs.likeness(own, after).alias("near_next"))
+
+
+ORACLES["op5_substring_dedup"] = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM texts WHERE len(ws) >= 35),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win FROM starts),
+twice AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS at
+         FROM windows JOIN twice USING (win), (SELECT unnest(range(0, 35)) AS k)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM texts),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS text
+         FROM words ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op8_minhash"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM texts WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+           FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(doc_id, b), doc_id) AS component_id,
+       coalesce(least(doc_id, b), doc_id) = doc_id AS kept
+FROM texts LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id
+"""

@@ -167,9 +167,10 @@ def text_key(column: str) -> tuple[F.Column, F.Column]:
     return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
-def kept_texts(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> DataFrame:
+def kept_texts(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT, verbatim: bool = False) -> DataFrame:
     """(h1, h2, n_words, n_removed, kept) of every distinct text: the words
-    that stay, joined by one blank, as UTF-8."""
+    that stay, joined by one blank, as UTF-8; with ``verbatim`` a text that
+    loses nothing stays as it is."""
     texts, ranges = covered(docs, window, mer, hot)
     per_text = ranges.groupBy("h1", "h2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
@@ -182,7 +183,8 @@ def kept_texts(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int =
                 gone[r["hi"]] -= 1
             stays = np.cumsum(gone)[:-1] == 0
             kept = [w for w, s in zip(ws, stays.tolist()) if s] if ranges else ws
-            yield h1, h2, len(ws), len(ws) - len(kept), b" ".join(kept)
+            whole = verbatim and text is not None and len(kept) == len(ws)
+            yield h1, h2, len(ws), len(ws) - len(kept), text.encode("utf-8", "surrogatepass") if whole else b" ".join(kept)
 
     joined = texts.select("h1", "h2", "text").join(per_text.hint("merge"), ["h1", "h2"], "left")
     return map_rows(joined, cut, "h1 long, h2 long, n_words long, n_removed long, kept binary")
@@ -195,6 +197,7 @@ def attach(docs: DataFrame, per_text: DataFrame, text: str = "text") -> DataFram
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> DataFrame:
-    """``docs`` with n_words, n_removed and its text cut to the words that stay."""
-    done = kept_texts(docs, window, mer, hot).withColumn("__text", F.col("kept").cast("string")).drop("kept")
+    """``docs`` with n_words, n_removed and its text cut to the words that
+    stay, joined by one blank; texts that lose nothing stay as they are (null: empty)."""
+    done = kept_texts(docs, window, mer, hot, verbatim=True).withColumn("__text", F.col("kept").cast("string")).drop("kept")
     return attach(docs, done).withColumnRenamed("__text", "text")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import code_points, map_rows
+from panelcast.llm.common import code_points, keep_rows, map_rows
 from panelcast.llm.subwords import sample_labels
 
 BUCKETS, SIZES, STRETCH = 1 << 18, (2, 3, 4, 5, 6), 1 << 16
@@ -134,3 +134,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return zip(cols[0], shared.value.scores(cols[1]).tolist())
 
     return map_rows(docs.select("doc_id", text), run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text, lambda texts: shared.value.scores(texts) < threshold)
