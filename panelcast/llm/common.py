@@ -56,9 +56,11 @@ def map_rows(df: DataFrame, fn: Callable[[list[list]], Iterable[tuple]], schema:
     return df.mapInArrow(run, kind)
 
 
-def words(text: str | None) -> list[bytes]:
+def words(text: str | bytes | None) -> list[bytes]:
     """``[^\\x20\\x09-\\x0D]+`` as UTF-8; none for null."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+    if not text:
+        return []
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).split()
 
 
 def code_points(text: str) -> np.ndarray:

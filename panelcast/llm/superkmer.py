@@ -59,8 +59,8 @@ def runs(ws: list[bytes], window: int, mer: int) -> tuple[list[int], list[int],
         rolled = h[:len(ws) - mer + 1].copy()
         for i in range(1, mer):
             rolled = rolled * _BASE + h[i:len(ws) - mer + 1 + i]
-    least, span = mix64(rolled), 1
-    mers = np.sort(least)
+    mers = least = mix64(rolled)
+    span = 1
     across = window - mer + 1
     while 2 * span <= across:
         least = np.minimum(least[:-span], least[span:])
@@ -69,6 +69,7 @@ def runs(ws: list[bytes], window: int, mer: int) -> tuple[list[int], list[int],
         least = np.minimum(least[:span - across], least[across - span:])
     begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     keys = least[begin]
+    mers = np.sort(mers[mers <= keys.max()])
     recurs = np.searchsorted(mers, keys, "right") - np.searchsorted(mers, keys) > 1
     return keys.view(np.int64).tolist(), begin.tolist(), np.diff(np.append(begin, n)).tolist(), recurs.tolist()
 
@@ -112,7 +113,7 @@ def _bucket(window: int):
 def covered(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The distinct texts (h1, h2, text, copies) and the word ranges (h1, h2,
     lo, hi) in them that repeated windows cover."""
-    texts = (docs.select(*text_key("text"), "text").groupBy("h1", "h2")
+    texts = (docs.select(*text_key("text"), F.col("text").cast("binary").alias("text")).groupBy("h1", "h2")
              .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
 
     def narrow(cols):
@@ -123,24 +124,26 @@ def covered(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HO
     every = map_rows(texts, narrow, "key long, h1 long, h2 long, start int, times int")
     shared = (every.groupBy("key").agg(F.sum("times").alias("total")).where("total > 1")
               .select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"), "total"))
-    wanted = (every.join(shared.hint("merge"), "key").select("h1", "h2", F.struct("start", F.col("total") > hot).alias("run"))
-              .groupBy("h1", "h2").agg(F.collect_list("run").alias("runs")))
+    wanted = (every.join(shared.hint("merge"), "key").groupBy("h1", "h2").agg(
+        F.collect_list(F.when(F.col("total") <= hot, F.col("start"))).alias("cold"),
+        F.collect_list(F.when(F.col("total") > hot, F.col("start"))).alias("hot")))
 
     def packed(cols):
         for h1, h2, text, copies, chosen in zip(*cols):
-            ws = words(text)
-            many = {r["start"]: r["col2"] for r in chosen}
+            ws, chosen = words(text), set(chosen)
             for key, start, size, _ in zip(*runs(ws, window, mer)):
-                if start in many:
-                    yield key, many[start], b" ".join(ws[start:start + size + window - 1]), h1, h2, start, 2 if copies > 1 else 1
+                if start in chosen:
+                    yield key, b" ".join(ws[start:start + size + window - 1]), h1, h2, start, 2 if copies > 1 else 1
+
+    def travelling(kind):
+        some = wanted.where(F.size(kind) > 0).select("h1", "h2", kind)
+        return map_rows(texts.join(some.hint("merge"), ["h1", "h2"]), packed,
+                        "key long, packed binary, h1 long, h2 long, start int, times int")
 
-    travelling = map_rows(texts.join(wanted.hint("merge"), ["h1", "h2"]), packed,
-                          "key long, hot boolean, packed binary, h1 long, h2 long, start int, times int")
-    cold = by_key(travelling.where("not hot").select("key", "packed", "h1", "h2", "start", "times"), ["key"],
-                  _bucket(window), "h1 long, h2 long, lo int, hi int")
+    cold = by_key(travelling("cold"), ["key"], _bucket(window), "h1 long, h2 long, lo int, hi int")
 
     # shared by very many: distinct strings, their windows' digests, counts
-    many = travelling.where("hot").withColumns({"p1": F.xxhash64("packed"), "p2": F.xxhash64(F.lit(1), "packed")})
+    many = travelling("hot").withColumns({"p1": F.xxhash64("packed"), "p2": F.xxhash64(F.lit(1), "packed")})
     strings = many.groupBy("p1", "p2").agg(F.first("packed").alias("packed"), F.sum("times").alias("times"))
 
     def digests(cols):
@@ -184,7 +187,7 @@ def kept_texts(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int =
             stays = np.cumsum(gone)[:-1] == 0
             kept = [w for w, s in zip(ws, stays.tolist()) if s] if ranges else ws
             whole = verbatim and text is not None and len(kept) == len(ws)
-            yield h1, h2, len(ws), len(ws) - len(kept), text.encode("utf-8", "surrogatepass") if whole else b" ".join(kept)
+            yield h1, h2, len(ws), len(ws) - len(kept), text if whole else b" ".join(kept)
 
     joined = texts.select("h1", "h2", "text").join(per_text.hint("merge"), ["h1", "h2"], "left")
     return map_rows(joined, cut, "h1 long, h2 long, n_words long, n_removed long, kept binary")
