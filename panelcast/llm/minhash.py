@@ -7,7 +7,7 @@ signatures by bit counts, corrected for chance collisions.  Pairs whose
 estimate is not far below the threshold are confirmed on the full sets.
 
 Plan.  Equal sets are collapsed to classes first.  In each band's bucket every
-class is compared with two leaders; confirmed links give components.  Only
+class is compared with a leader; confirmed links give components.  Only
 buckets that still hold several components are looked at again: there all
 pairs across components are estimated in blocks, and those that may be links
 are confirmed inside the task unless they are connected by then.  So no pair
@@ -192,10 +192,9 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, text: str = "text", blo
     crowded = each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(_apart("key"), "size")
     members = written(each.join(crowded.hint("merge"), "key").select("key", "band", "node", "size"), "members")
 
-    # every member with two leaders of its bucket, the first and last by hash
-    by_hash = F.xxhash64("node", "key")
-    leaders = (members.groupBy("key").agg(F.min_by("node", by_hash).alias("first"), F.max_by("node", by_hash).alias("last"))
-               .select(_apart("key"), F.explode(F.array("first", "last")).alias("leader")))
+    # every member with the leader of its bucket, the first by a hash that is
+    # the same in all bands, so that a group has few leaders
+    leaders = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("leader")).select(_apart("key"), "leader")
     pairs = (members.join(leaders.hint("merge"), "key").where("node != leader")
              .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     signed = classes.select(F.col("node"), "signature", "n")
