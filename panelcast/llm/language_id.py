@@ -79,8 +79,8 @@ class Model:
 
     def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(words x languages) bits of words of letters, and their symbols."""
-        if not words:
-            return np.zeros((0, len(self.langs))), np.zeros(0)
+        if not words or not self.langs:
+            return np.zeros((len(words), len(self.langs))), np.zeros(len(words))
         hashes, owner, left = _rolled(words, self.order)
         place = (np.fromiter(map(len, words), np.int64, len(words)) + 2)[owner] - left  # position in the word
         target = np.flatnonzero(place > 0)      # the start mark is given

@@ -189,11 +189,11 @@ WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09
 starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM texts WHERE len(ws) >= 35),
 windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win FROM starts),
 twice AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS at
+gone AS (SELECT DISTINCT doc_id, i + k AS pos
          FROM windows JOIN twice USING (win), (SELECT unnest(range(0, 35)) AS k)),
-words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM texts),
-kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS text
-         FROM words ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id)
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM texts),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+         FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)
