@@ -35,16 +35,18 @@ def _accent_translation() -> tuple[str, str]:
 
 
 def strip_accents(c: str | Column) -> Column:
+    """Text without accents: composed Latin letters become their base letters, and
+    combining marks that stand alone, as in decomposed text, go."""
     src, dst = _accent_translation()
-    return F.translate(col(c), src, dst)
+    return F.regexp_replace(F.translate(col(c), src, dst), r"\p{Mn}", "")
 
 
 def normalized_name(c: str | Column) -> Column:
-    """Accent-free, lower-case name without '.' and "'" and outer blanks; NULL stays NULL."""
+    """Accent-free, lower-case name without '.' and "'" and outer white space; NULL stays NULL."""
     x = strip_accents(col(c))
     x = F.lower(x)
     x = F.regexp_replace(x, r"[.']", "")
-    return F.trim(x)
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def contains_ci(c: str | Column, needle: str, regex: bool = False) -> Column:

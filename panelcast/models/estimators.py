@@ -22,6 +22,10 @@ from panelcast.operators.evaluate import regression_metrics
 
 c = F.col
 
+#: Upper limit that no fit here reaches: the solver works on aggregated moments,
+#: so iterations past a hundred cost little.
+LASSO_ITERATIONS = 10_000
+
 Factory = Callable[[DataFrame], Pipeline]
 
 
@@ -65,7 +69,7 @@ def lasso(features: Sequence[str], label: str, alpha: float = 1.0) -> Factory:
     """M5: L1-penalised least squares, (1/2n) SSE + alpha ||w||_1 on standardised features."""
     def make(train: DataFrame) -> Pipeline:
         lr = LinearRegression(featuresCol="features", labelCol=label, predictionCol="predicted",
-                              elasticNetParam=1.0, regParam=alpha, standardization=False, maxIter=100)
+                              elasticNetParam=1.0, regParam=alpha, standardization=False, maxIter=LASSO_ITERATIONS)
         return Pipeline(stages=[*_assemble(features, True), lr])
     return make
 
@@ -113,21 +117,25 @@ def compare_models(train: DataFrame, test: DataFrame, factories: Mapping[str, Fa
     return regression_metrics(scored.withColumnRenamed(label, "actual"), group=["model"])
 
 
-def ensemble(scored: Mapping[str, DataFrame], weights: Mapping[str, float], keys: Sequence[str]) -> DataFrame:
-    """M9: weighted sum of several models' predictions, joined by key."""
-    total = sum(weights.values())
-    out = None
-    for name, df in scored.items():
-        part = df.select(*keys, c("predicted").alias(f"pred_{name}"))
-        out = part if out is None else out.join(part, list(keys))
-    pred = sum((c(f"pred_{n}") * (w / total) for n, w in weights.items()), F.lit(0.0))
-    return out.withColumn("predicted", pred)
+def ensemble(models: Mapping[str, PipelineModel], weights: Mapping[str, float], df: DataFrame,
+             keep: Sequence[str]) -> DataFrame:
+    """M9: weighted sum of several models' predictions, all scored in one pass over ``df``."""
+    total, out, pred = sum(weights.values()), df.select(*df.columns), F.lit(0.0)
+    for name, model in models.items():
+        out = model.transform(out).withColumnRenamed("predicted", f"pred_{name}").drop("features", "raw_features", "prediction")
+        pred = pred + c(f"pred_{name}") * (weights[name] / total)
+    return out.withColumn("predicted", pred).select(*keep, *[f"pred_{n}" for n in models], "predicted")
+
+
+MAX_SEGMENTS = 100
 
 
 def fit_by_segment(train: DataFrame, test: DataFrame, segment: str, factory: Factory,
                    keep: Sequence[str]) -> DataFrame:
     """One model per segment value (few segments), predictions recombined."""
-    values = [r[0] for r in train.select(segment).distinct().collect()]
+    values = [r[0] for r in train.select(segment).where(c(segment).isNotNull()).distinct().limit(MAX_SEGMENTS + 1).collect()]
+    if len(values) > MAX_SEGMENTS:
+        raise ValueError(f"{segment} has more than {MAX_SEGMENTS} values: not a segment column")
     parts = [fit_and_score(train.filter(c(segment) == v), test.filter(c(segment) == v), factory, keep)
              for v in sorted(values)]
     out = parts[0]

@@ -1,9 +1,8 @@
 """Scores built from global statistics (W12 momentum score, W19 injury risk).
 
 Global statistics are one ungrouped aggregate (partial aggregates per task,
-then one row) used as scalar subqueries: Spark runs the aggregate once, merges
-subqueries over the same source, and inlines the values into a map-side
-projection.  An unpartitioned window would instead pull every row into one
+then one row) used as one struct-valued scalar subquery: Spark runs the
+aggregate once and inlines the values into a map-side projection.  An unpartitioned window would instead pull every row into one
 task.  ``stats_from`` lets the statistics come from another frame (e.g.
 the training split) to avoid leaking test rows.
 """
@@ -22,7 +21,8 @@ c = F.col
 
 def scalars(stats: DataFrame) -> dict[str, F.Column]:
     """Columns of a one-row aggregate as scalar-subquery expressions."""
-    return {name: stats.select(name).scalar() for name in stats.columns}
+    whole = stats.select(F.struct(*[c(f"`{x}`") for x in stats.columns]).alias("s")).scalar()
+    return {name: whole.getField(name) for name in stats.columns}
 
 
 def momentum_score(df: DataFrame, weights: dict[str, float] = MOMENTUM_WEIGHTS,

@@ -48,7 +48,7 @@ def match_rate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows where any joined column is non-NULL, of all rows."""
     any_hit = F.coalesce(*[c(x).cast("double") for x in columns]).isNotNull()
     return df.agg(F.count(F.when(any_hit, 1)).alias("matched"), F.count(F.lit(1)).alias("total")).withColumn(
-        "match_pct", c("matched") * 100.0 / c("total"))
+        "match_pct", c("matched") * 100.0 / F.nullif(c("total"), F.lit(0)))
 
 
 def absent_entities(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, latest: int | None = None,

@@ -121,7 +121,12 @@ def pairwise_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> Da
             acc[:, 5] += vv[ia, ib]
         yield pd.DataFrame({"m": [acc.ravel()]})
 
-    parts = df.select(*[c(f"`{x}`").cast("double").alias(x) for x in cols]).mapInPandas(moments, "m array<double>")
+    # sums of squares of raw values lose their digits where a mean is far from
+    # zero, so the columns' means are taken off first (r does not depend on them)
+    values = df.select(*[c(f"`{x}`").cast("double").alias(x) for x in cols])
+    means = values.agg(*[F.avg(F.when(~F.isnan(c(f"`{x}`")), c(f"`{x}`"))).alias(x) for x in cols]).first()
+    centred = values.select(*[(c(f"`{x}`") - F.lit(means[x] or 0.0)).alias(x) for x in cols])
+    parts = centred.mapInPandas(moments, "m array<double>")
     sums = (parts.select(F.posexplode("m").alias("pos", "v"))
             .groupBy((c("pos") / n_stats).cast("int").alias("k"))
             .agg(*[F.sum(F.when(c("pos") % n_stats == s_, c("v"))).alias(name)

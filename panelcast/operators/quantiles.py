@@ -1,29 +1,28 @@
-"""Exact quantiles without holding a whole column in one task.
+"""Exact quantiles without holding a column in one task or on the driver.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, which does not survive a 100 TB column.  Here the exact
 linear-interpolated quantile (pandas' default, SQL ``quantile_cont``) of any
-number of columns and probabilities is found with two scans:
+number of columns and probabilities is found by selection:
 
 0. the value columns alone are materialised once (reliable checkpoint);
-1. one aggregation computes, per column, the non-NULL count and a
-   ``percentile_approx`` bracket around every requested probability (rank
-   error <= n / accuracy, so the values at q -/+ 2/accuracy enclose the
-   answer);
-2. one more scan emits, per row and bracket, either a "below the bracket"
-   marker or the value itself when it falls inside the bracket; a map-side
-   combined ``groupBy(bracket, marker, value).count()`` reduces that to one
-   count per bracket plus O(n / accuracy) distinct in-bracket values.
-
-The driver receives only those small count tables and reads off the values
-at ranks floor(q(n-1)) and ceil(q(n-1)).  A bracket that misses (it cannot
-under the sketch's guarantee) is retried wider.
+1. every wanted rank starts with the open interval of all values.  While more
+   than ``LIMIT`` values are in its interval, one aggregation proposes two pivots around the
+   rank (``percentile_approx`` within the interval) and another counts the values
+   below, at, between and above them.  The rank is at a pivot, which settles
+   it, or in one of the three open intervals, which replaces the old one;
+2. the values of the intervals that are left, at most ``LIMIT`` each, are
+   collected, and the ranks floor(q(n-1)) and ceil(q(n-1)) read off.
+
+So the driver gets at most ``LIMIT`` values a rank, whatever the number of rows, and
+heavy ties settle at once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,45 @@ from panelcast.session import ensure_checkpoint_dir
 c = F.col
 
 DEFAULT_ACCURACY = 10_000
+LIMIT = 1_000
+
+
+@dataclass
+class _Rank:
+    """A wanted rank (from 0) of column ``v<i>`` within the open interval."""
+    i: int
+    rank: int
+    size: int                       # values in the interval
+    base: int = 0                   # values below it
+    above: float | None = None      # the interval's ends, None where it is open-ended
+    below: float | None = None
+    value: float | None = None
+
+    def inside(self) -> Column:
+        v = c(f"v{self.i}")
+        cond = v.isNotNull()
+        if self.above is not None:
+            cond = cond & (v > F.lit(self.above))
+        if self.below is not None:
+            cond = cond & (v < F.lit(self.below))
+        return cond
+
+    def narrow(self, pivots: tuple[float, float], counts: Sequence[int]) -> None:
+        """``counts``: values below, at the first pivot, between, at the second."""
+        lo, hi = pivots
+        under, at_lo, between, at_hi = counts
+        r = self.rank - self.base
+        if r < under:
+            self.size, self.below = under, lo
+        elif r < under + at_lo:
+            self.value = lo
+        elif r < under + at_lo + between:
+            self.base, self.size, self.above, self.below = self.base + under + at_lo, between, lo, hi
+        elif r < under + at_lo + between + at_hi:
+            self.value = hi
+        else:
+            passed = under + at_lo + between + at_hi
+            self.base, self.size, self.above = self.base + passed, self.size - passed, hi
 
 
 def exact_quantiles(df: DataFrame, values: Mapping[str, Column | str], probs: Sequence[float],
@@ -44,99 +82,62 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column | str], probs: Se
     exprs = [F.col(f"`{v}`") if isinstance(v, str) else v for v in values.values()]
     vals = df.select(*[F.when(~F.isnan(e.cast("double")), e.cast("double")).alias(f"v{i}")
                        for i, e in enumerate(exprs)])
-    # both scans read the narrow value columns from one reliable checkpoint
-    # instead of recomputing the upstream plan twice
+    # all scans read the narrow value columns from one reliable checkpoint
+    # instead of recomputing the upstream plan
     ensure_checkpoint_dir(df.sparkSession)
     vals = vals.checkpoint(eager=True)
     counts = vals.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
-    n = {i: counts[f"n{i}"] for i in range(len(names))}
-    result: dict[tuple[str, float], float | None] = {}
-    pending = [(i, q) for i in range(len(names)) for q in probs if n[i] > 0]
-    for i in range(len(names)):
-        if n[i] == 0:
-            for q in probs:
-                result[(names[i], q)] = None
-    delta = 2.0 / accuracy
-    while pending:
-        brackets = _brackets(vals, pending, delta, accuracy)
-        found, missed = _resolve(vals, pending, brackets, n)
-        for (i, q), v in found.items():
-            result[(names[i], q)] = v
-        pending = missed
-        delta *= 8
-    return result
-
-
-def _brackets(vals: DataFrame, keys, delta: float, accuracy: int) -> dict:
-    aggs = []
-    for k, (i, q) in enumerate(keys):
-        lo_q, hi_q = max(q - delta, 0.0), min(q + delta, 1.0)
-        if delta >= 1.0:
-            lo_q, hi_q = 0.0, 1.0
-        aggs.append(F.percentile_approx(f"v{i}", F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias(f"b{k}"))
-    row = vals.agg(*aggs).first()
-    out = {}
-    for k, key in enumerate(keys):
-        lo, hi = row[f"b{k}"]
-        if delta >= 1.0:
-            lo, hi = -math.inf, math.inf
-        out[key] = (lo, hi)
+    n = [counts[f"n{i}"] for i in range(len(names))]
+    wanted = {(i, r): _Rank(i, r, n[i]) for i in range(len(names)) if n[i] for q in probs
+              for r in (math.floor(q * (n[i] - 1)), math.ceil(q * (n[i] - 1)))}
+    while open_ranks := [w for w in wanted.values() if w.value is None and w.size > LIMIT]:
+        _narrow(vals, open_ranks, accuracy)
+    _collect(vals, [w for w in wanted.values() if w.value is None])
+    out: dict[tuple[str, float], float | None] = {}
+    for i, name in enumerate(names):
+        for q in probs:
+            if not n[i]:
+                out[name, q] = None
+                continue
+            pos = q * (n[i] - 1)
+            lo, hi = wanted[i, math.floor(pos)].value, wanted[i, math.ceil(pos)].value
+            out[name, q] = lo + (pos - math.floor(pos)) * (hi - lo)
     return out
 
 
-def _resolve(vals: DataFrame, keys, brackets, n):
-    items = []
-    for k, key in enumerate(keys):
-        i = key[0]
-        lo, hi = brackets[key]
-        v = c(f"v{i}")
-        lo_c = F.lit(lo if math.isfinite(lo) else -1.0e308)
-        hi_c = F.lit(hi if math.isfinite(hi) else 1.0e308)
-        items.append(
-            F.when(v < lo_c, F.struct(F.lit(k).alias("k"), F.lit(True).alias("below"), F.lit(None).cast("double").alias("v")))
-             .when(v <= hi_c, F.struct(F.lit(k).alias("k"), F.lit(False).alias("below"), v.alias("v"))))
-    emitted = vals.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")).select("e.*")
-    rows = emitted.groupBy("k", "below", "v").agg(F.count(F.lit(1)).alias("cnt")).collect()
-    below = {k: 0 for k in range(len(keys))}
-    band: dict[int, list[tuple[float, int]]] = {k: [] for k in range(len(keys))}
-    for r in rows:
-        if r["below"]:
-            below[r["k"]] += r["cnt"]
-        else:
-            band[r["k"]].append((r["v"], r["cnt"]))
-    found, missed = {}, []
-    for k, key in enumerate(keys):
-        i, q = key
-        pos = q * (n[i] - 1)
-        k0, k1 = math.floor(pos), math.ceil(pos)
-        pts = sorted(band[k])
-        v0 = _at_rank(pts, k0 - below[k])
-        v1 = _at_rank(pts, k1 - below[k])
-        if v0 is None or v1 is None:
-            missed.append(key)
-            continue
-        found[key] = v0 + (pos - k0) * (v1 - v0)
-    return found, missed
-
-
-def _at_rank(pts: list[tuple[float, int]], r: int) -> float | None:
-    if r < 0:
-        return None
-    cum = 0
-    for v, cnt in pts:
-        cum += cnt
-        if cum > r:
-            return v
-    return None
-
-
-def exact_quantile(df: DataFrame, x: str, q: float, accuracy: int = DEFAULT_ACCURACY) -> Column:
-    """One exact quantile as a literal Column (runs the two scans now)."""
-    v = exact_quantiles(df, {x: x}, [q], accuracy)[(x, q)]
-    return F.lit(v).cast("double")
+def _narrow(vals: DataFrame, ranks: Sequence[_Rank], accuracy: int) -> None:
+    delta = 2.0 / accuracy
+    proposed = []
+    for k, w in enumerate(ranks):
+        q = (w.rank - w.base + 0.5) / w.size
+        ends = F.array(F.lit(max(q - delta, 0.0)), F.lit(min(q + delta, 1.0)))
+        proposed.append(F.percentile_approx(F.when(w.inside(), c(f"v{w.i}")), ends, accuracy).alias(f"p{k}"))
+    row = vals.agg(*proposed).first()
+    pivots = [tuple(row[f"p{k}"]) for k in range(len(ranks))]
+    counted = []
+    for k, (w, (lo, hi)) in enumerate(zip(ranks, pivots)):
+        v, inside = c(f"v{w.i}"), w.inside()
+        for name, cond in (("a", v < lo), ("b", v == lo), ("c", (v > lo) & (v < hi)), ("d", (v == hi) & F.lit(hi > lo))):
+            counted.append(F.count(F.when(inside & cond, 1)).alias(f"{name}{k}"))
+    row = vals.agg(*counted).first()
+    for k, w in enumerate(ranks):
+        w.narrow(pivots[k], [row[f"{name}{k}"] for name in "abcd"])
+
+
+def _collect(vals: DataFrame, ranks: Sequence[_Rank]) -> None:
+    """Settle ranks whose intervals hold at most ``LIMIT`` values."""
+    if not ranks:
+        return
+    items = [F.when(w.inside(), F.struct(F.lit(k).alias("k"), c(f"v{w.i}").alias("v"))) for k, w in enumerate(ranks)]
+    rows = vals.select(F.explode(F.array_compact(F.array(*items))).alias("e")).select("e.*").collect()
+    own: dict[int, list[float]] = {k: [] for k in range(len(ranks))}
+    for k, v in rows:
+        own[k].append(v)
+    for k, w in enumerate(ranks):
+        w.value = sorted(own[k])[w.rank - w.base]
 
 
 def column_medians(df: DataFrame, columns: Sequence[str], accuracy: int = DEFAULT_ACCURACY) -> dict[str, Column]:
-    """Exact medians of many columns in the same two scans, as literal Columns."""
+    """Exact medians of many columns in the same scans, as literal Columns."""
     res = exact_quantiles(df, {x: x for x in columns}, [0.5], accuracy)
     return {x: F.lit(res[(x, 0.5)]).cast("double") for x in columns}

@@ -42,7 +42,7 @@ def global_rank(df: DataFrame, score: str, tie: Sequence[str], name: str = "rank
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order = _order(score, tie, descending)
-    n = partitions or spark.sparkContext.defaultParallelism
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     tagged = tagged.withColumn("_part", F.shiftright(c("_mid"), _POS_BITS))
@@ -52,7 +52,7 @@ def global_rank(df: DataFrame, score: str, tie: Sequence[str], name: str = "rank
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_offset"))
     out = tagged.join(F.broadcast(offsets), "_part")
-    return out.withColumn(name, (c("_offset") + c("_pos") + 1).cast("int")).drop("_mid", "_part", "_pos", "_offset")
+    return out.withColumn(name, (c("_offset") + c("_pos") + 1).cast("long")).drop("_mid", "_part", "_pos", "_offset")
 
 
 def sort_by_score(df: DataFrame, score: str, tie: Sequence[str], descending: bool = True) -> DataFrame:

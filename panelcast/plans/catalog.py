@@ -3,11 +3,4 @@
 Entity = customer, period = order year; see ``sources/standin.py``.
 """
 
-import importlib
-
-for _mod in ("q_panel", "q_joins", "q_profile", "q_eval", "q_project", "q_models"):
-    try:
-        importlib.import_module(f"panelcast.plans.{_mod}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if e.name != f"panelcast.plans.{_mod}":
-            raise
+from panelcast.plans import q_eval, q_joins, q_models, q_panel, q_profile, q_project  # noqa: F401

@@ -8,8 +8,9 @@ loss instead of recomputing the panel for every pass.
 
 from __future__ import annotations
 
-import os
+import uuid
 
+from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +23,7 @@ from panelcast.operators.evaluate import regression_metrics
 from panelcast.operators.filters import drop_incomplete, with_target
 from panelcast.plans.panel import season_panel
 from panelcast.plans.q_joins import PITCH_COLS, pitch_side
-from panelcast.operators.impute import median_impute
+from panelcast.operators.impute import column_medians, median_impute
 from panelcast.operators.joins import left_join_normalized
 from panelcast.plans.registry import query
 from panelcast.session import ensure_checkpoint_dir
@@ -33,6 +34,11 @@ SPEC = DEFAULT_SPEC
 KEY = ["player_id", "season"]
 T = SPEC.target
 FEATURES = list(MODEL_FEATURES)
+# The features that count as newly engineered.
+ENGINEERED = """
+is_ace is_high_k_pitcher is_workhorse log_total_strikeouts is_starter is_reliever k9_x_starter swstr_x_starter
+ip_x_starter swstr_x_ip k9_x_era age_x_ip stuff_x_command workload_stress
+""".split()
 
 
 def model_table(spark: SparkSession, sf_dir: str, extra: DataFrame | None = None,
@@ -55,11 +61,12 @@ def _metrics(scored: DataFrame, name: str) -> DataFrame:
 
 
 def _with_change(metrics: DataFrame, baseline: str) -> DataFrame:
-    """Relative MAE change against the baseline model, with the +-0.5 verdict."""
+    """MAE change against the baseline model, in units and percent, with
+    the +-0.5 units verdict."""
     base = metrics.filter(c("model") == baseline).select(c("mae").alias("_base")).scalar()
-    out = metrics.withColumn("pct_change_vs_baseline", (c("mae") - base) / base * 100)
-    return out.withColumn("verdict", F.when(c("pct_change_vs_baseline") < -0.5, F.lit("better"))
-                          .when(c("pct_change_vs_baseline") > 0.5, F.lit("worse")).otherwise(F.lit("same")))
+    out = metrics.withColumns({"mae_change": c("mae") - base, "pct_change_vs_baseline": (c("mae") - base) / F.nullif(base, F.lit(0.0)) * 100})
+    return out.withColumn("verdict", F.when(c("mae_change") < -0.5, F.lit("better"))
+                          .when(c("mae_change") > 0.5, F.lit("worse")).otherwise(F.lit("same")))
 
 
 @query("model_comparison", "M2 M3 M4 M5 M7 M8 M15 M16 M20")
@@ -81,17 +88,16 @@ def model_comparison_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ensemble_model", "M9 M15")
 def ensemble_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted ensemble .5 ridge + .25 forest + .25 boosting, predictions joined by key."""
+    """Weighted ensemble .5 ridge + .25 forest + .25 boosting; the models score one after the other, without a join."""
     df = model_table(spark, sf_dir)
     train, test = _train_test(df)
-    parts = {
-        "ridge": est.fit_and_score(train, test, est.ridge(FEATURES, T, 0.5), [*KEY, T]),
-        "random_forest": est.fit_and_score(train, test, est.random_forest(FEATURES, T), KEY),
-        "gradient_boosting": est.fit_and_score(train, test, est.gradient_boosting(FEATURES, T), KEY),
+    models = {
+        "ridge": est.fit(train, est.ridge(FEATURES, T, 0.5)),
+        "random_forest": est.fit(train, est.random_forest(FEATURES, T)),
+        "gradient_boosting": est.fit(train, est.gradient_boosting(FEATURES, T)),
     }
-    ens = est.ensemble(parts, {"ridge": 0.5, "random_forest": 0.25, "gradient_boosting": 0.25}, KEY)
-    ens = ens.join(parts["ridge"].select(*KEY, T), KEY)
-    return _metrics(ens, "ensemble")
+    weights = {"ridge": 0.5, "random_forest": 0.25, "gradient_boosting": 0.25}
+    return _metrics(est.ensemble(models, weights, test, [*KEY, T]), "ensemble")
 
 
 @query("segment_models", "M10 M15")
@@ -121,7 +127,7 @@ def cross_validation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = m if rows is None else rows.unionByName(m)
     long = rows.unpivot(["fold", "part"], ["mae", "rmse", "r2"], "metric", "value")
     summary = long.groupBy("part", "metric").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     return summary.withColumn("stability", F.when(c("metric") != "r2", F.lit(None).cast("string"))
                               .when(c("std") < 0.05, F.lit("very stable"))
@@ -130,34 +136,46 @@ def cross_validation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("learning_curve", "M13 M14")
 def learning_curve_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge test MAE for nested training shares .3-.8 against one fixed test
-    split, step improvement between shares, and a log-linear extrapolation to 2x data."""
+    """Ridge (alpha 1) test MAE for nested training shares .3-.8 against one fixed
+    test split; percent improvement per step; the MAE projected at 500, 1000 and 2000
+    rows from the mean improvement per 100 rows (NULL below the present size); and
+    whether the last step gains less than the first."""
     df = model_table(spark, sf_dir)
     test = df.filter(c("split") == "test")
     rows = None
     for share in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8):
         tr = df.filter(nested_train_mask("bucket", share))
-        m = _metrics(est.fit_and_score(tr, test, est.ridge(FEATURES, T, 0.5), [*KEY, T]), "ridge").withColumns({
+        m = _metrics(est.fit_and_score(tr, test, est.ridge(FEATURES, T, 1.0), [*KEY, T]), "ridge").withColumns({
             "train_share": F.lit(share), "train_rows": F.lit(tr.count())})
         rows = m if rows is None else rows.unionByName(m)
     w = Window.orderBy("train_share")  # six rows
-    out = rows.withColumn("mae_improvement", F.lag("mae").over(w) - c("mae"))
-    # MAE ~ a + b ln(rows) fitted over the curve, read at twice the largest size
-    fit = out.agg(F.regr_slope("mae", F.log("train_rows")).alias("b"),
-                  F.regr_intercept("mae", F.log("train_rows")).alias("a"), F.max("train_rows").alias("nmax"))
-    ext = fit.select((c("a") + c("b") * F.log(c("nmax") * 2)).alias("mae_at_2x")).scalar()
-    return out.withColumn("extrapolated_mae_at_2x", ext)
+    last, size = F.lag("mae").over(w), F.lag("train_rows").over(w)
+    gain = (last - c("mae")) / F.nullif(last, F.lit(0.0)) * 100
+    out = rows.withColumns({
+        "mae_decrease": last - c("mae"), "improvement_pct": gain,
+        "improvement_pct_per_100": gain / F.nullif(c("train_rows") - size, F.lit(0)) * 100}).checkpoint(eager=True)
+    now = out.agg(F.avg("improvement_pct_per_100").alias("rate"), F.max_by("mae", "train_share").alias("mae"),
+                  F.min_by("mae_decrease", F.when(c("mae_decrease").isNotNull(), c("train_share"))).alias("first"),
+                  F.max_by("mae_decrease", "train_share").alias("last")).first()
+    have = df.count()
+    for goal in (500, 1000, 2000):
+        value = now["mae"] * (1 - now["rate"] * (goal - have) / 100 / 100) if goal > have and now["rate"] is not None else None
+        out = out.withColumn(f"projected_mae_at_{goal}", F.lit(value).cast("double"))
+    return out.withColumn("returns", F.lit("diminishing" if now["last"] < now["first"] else "stable"))
 
 
 @query("feature_importance", "M17")
 def feature_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random-forest importances of the 58 features, ranked, with the ridge |coefficient| rank."""
+    """Random-forest importances of the 58 features, ranked, with the ridge |coefficient| rank,
+    the engineered-feature flag and how many of them are among the first 20."""
     df = model_table(spark, sf_dir)
     train, _ = _train_test(df)
-    rf = est.importances(est.fit(train, est.random_forest(FEATURES, T)), FEATURES)
+    rf = est.importances(est.fit(train, est.random_forest(FEATURES, T)), FEATURES, ENGINEERED)
     rd = {f: r for f, _, r, _ in est.importances(est.fit(train, est.ridge(FEATURES, T, 0.5)), FEATURES)}
-    rows = [(f, imp, rank, rd[f], int(rank <= 20)) for f, imp, rank, _ in rf]
-    return spark.createDataFrame(rows, "feature string, importance double, rank int, ridge_rank int, in_top20 int")
+    new_in_top = sum(new for _, _, rank, new in rf if rank <= 20)
+    rows = [(f, imp, rank, rd[f], int(rank <= 20), new, new_in_top) for f, imp, rank, new in rf]
+    return spark.createDataFrame(rows, "feature string, importance double, rank int, ridge_rank int, in_top20 int, "
+                                       "is_new int, new_in_top20 int")
 
 
 def _lasso_selected(train: DataFrame, alpha: float = 1.0, threshold: float = 0.01) -> list[str]:
@@ -190,37 +208,48 @@ def alpha_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("is_best", (c("alpha") == best).cast("int"))
 
 
+def _lasso_by_cv(train: DataFrame):
+    """(scaler, alphas, mean squared errors, model of the best alpha): features
+    are assembled and scaled once, and only the regressor is cross-validated."""
+    *steps, lr = est.lasso(FEATURES, T, 1.0)(train).getStages()
+    scaler = Pipeline(stages=steps).fit(train)
+    scaled = scaler.transform(train).select("features", "fold", T).checkpoint(eager=True)
+    alphas = [10 ** (-3 + 5 * i / 49) for i in range(50)]
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, alphas).build(),
+                        evaluator=RegressionEvaluator(labelCol=T, predictionCol="predicted", metricName="mse"),
+                        numFolds=5, seed=42, parallelism=4, foldCol="fold").fit(scaled)
+    return scaler, alphas, list(cv.avgMetrics), cv.bestModel
+
+
 @query("lasso_cv", "M6")
 def lasso_cv_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lasso alpha chosen by 5-fold CV over 50 log-spaced values (1e-3..1e2)."""
+    """Lasso alpha of least squared error by 5-fold CV over 50 log-spaced values (1e-3..1e2)."""
     df = model_table(spark, sf_dir)
     train, test = _train_test(df)
-    pipe = est.lasso(FEATURES, T, 1.0)(train)
-    lr = pipe.getStages()[-1]
-    alphas = [10 ** (-3 + 5 * i / 49) for i in range(50)]
-    grid = ParamGridBuilder().addGrid(lr.regParam, alphas).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=5, seed=42, parallelism=4,
-                        evaluator=RegressionEvaluator(labelCol=T, predictionCol="predicted", metricName="mae"),
-                        foldCol="fold")
-    model = cv.fit(train)
-    best_i = min(range(len(alphas)), key=lambda i: model.avgMetrics[i])
-    m = _metrics(model.bestModel.transform(test).select(*KEY, T, "predicted"), "lasso_cv")
-    return m.withColumns({"best_alpha": F.lit(alphas[best_i]), "cv_mae": F.lit(float(model.avgMetrics[best_i]))})
+    scaler, alphas, errors, model = _lasso_by_cv(train)
+    best = min(range(len(alphas)), key=errors.__getitem__)
+    m = _metrics(model.transform(scaler.transform(test)).select(*KEY, T, "predicted"), "lasso_cv")
+    return m.withColumns({"best_alpha": F.lit(alphas[best]), "cv_mse": F.lit(float(errors[best])),
+                          "n_nonzero": F.lit(int(model.coefficients.numNonzeros()))})
 
 
 @query("topn_feature_sweep", "M19")
 def topn_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge on the top-N features by |lasso coefficient| for N = 10..50; best N flagged."""
+    """Ridge on the first N features by |coefficient| of the cross-validated lasso,
+    N = 10, 15 .. 50 and all that are not zero; best N flagged.  If all are zero, N = 0 predicts the training mean."""
     df = model_table(spark, sf_dir)
     train, test = _train_test(df)
-    coef = est.fit(train, est.lasso(FEATURES, T, 0.1)).stages[-1].coefficients.toArray().tolist()
-    order = [f for _, f in sorted(zip([-abs(w) for w in coef], FEATURES))]
+    coef = _lasso_by_cv(train)[3].coefficients.toArray().tolist()
+    order = [f for w, f in sorted(zip([-abs(w) for w in coef], FEATURES)) if w]
+    if not order:
+        mean = train.agg(F.avg(T).alias("m")).select("m").scalar()
+        return _metrics(test.select(*KEY, T).withColumn("predicted", mean), "ridge").withColumns({"top_n": F.lit(0), "is_best": F.lit(1)})
     rows = None
-    for n in (10, 20, 30, 40, 50):
+    for n in sorted({min(n, len(order)) for n in (*range(10, 51, 5), len(order))} - {0}):
         m = _metrics(est.fit_and_score(train, test, est.ridge(order[:n], T, 0.5), [*KEY, T]), "ridge").withColumn(
             "top_n", F.lit(n))
         rows = m if rows is None else rows.unionByName(m)
-    best = rows.agg(F.min_by("top_n", F.struct("mae", "top_n"))).first()[0]
+    best = rows.agg(F.min_by("top_n", F.struct("mae", "top_n")).alias("b")).select("b").scalar()
     return rows.withColumn("is_best", (c("top_n") == best).cast("int"))
 
 
@@ -250,13 +279,17 @@ def feature_sets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("main_projection_rf", "R1 M7 M22 W21")
 def main_projection_rf_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship projection with the random forest fitted on all labelled rows."""
+    """The flagship projection with the random forest fitted on all labelled rows
+    whose features are complete; every row of the latest season is scored, missing features
+    with their median over the season panel."""
     from panelcast.operators.project import project
     panel = season_panel(spark, sf_dir)
     df = model_table(spark, sf_dir)
     model = est.fit(df, est.random_forest(FEATURES, T))
     latest = panel.agg(F.max("season").alias("s")).select("s").scalar()
-    current = drop_incomplete(panel.filter(c("season") == latest), FEATURES)
+    panel = panel.checkpoint(eager=True)
+    med = column_medians(panel, FEATURES)
+    current = panel.filter(c("season") == latest).withColumns({x: F.coalesce(c(x).cast("double"), med[x], F.lit(0.0)) for x in FEATURES})
     # materialise the forest's scores once: ranking samples and re-reads its input
     scored = model.transform(current).drop("features", "raw_features").checkpoint(eager=True)
     return project(scored, SPEC)
@@ -269,7 +302,7 @@ def persistence_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = model_table(spark, sf_dir)
     train, test = _train_test(df)
     model = est.fit(train, est.ridge(FEATURES, T, 0.5))
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", "ridge")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/ridge-{uuid.uuid4().hex}"
     est.save(model, path)
     again = est.load(path)
     a = est.score(model, test, KEY).withColumnRenamed("predicted", "p1")
