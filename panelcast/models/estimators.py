@@ -69,7 +69,7 @@ def lasso(features: Sequence[str], label: str, alpha: float = 1.0) -> Factory:
     """M5: L1-penalised least squares, (1/2n) SSE + alpha ||w||_1 on standardised features."""
     def make(train: DataFrame) -> Pipeline:
         lr = LinearRegression(featuresCol="features", labelCol=label, predictionCol="predicted",
-                              elasticNetParam=1.0, regParam=alpha, standardization=False, maxIter=LASSO_ITERATIONS)
+                              elasticNetParam=1.0, regParam=alpha, standardization=False, maxIter=LASSO_ITERATIONS, tol=1e-10)
         return Pipeline(stages=[*_assemble(features, True), lr])
     return make
 
