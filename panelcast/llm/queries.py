@@ -82,7 +82,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import packing
     from panelcast.llm.common import table
 
-    cut = packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), public.path("byte_bpe_50k.json"), keep_ids=False)
+    cut = packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), public.path("byte_bpe_50k.json"), keep_ids=False,
+                         ranks_path=public.path("byte_bpe_50k.tiktoken"), pattern=public.PATTERN)
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
