@@ -7,9 +7,9 @@ equal neighbours are repeats.  Every word that a repeated window covers goes.
 
 Plan.  Equal texts are collapsed first (by two 64-bit hashes of the text, with
 their number), so that groups of copies cost one text.  A window can repeat
-only if its minimiser recurs, so a count of minimisers decides which super-k-mers travel.  Minimisers shared by
-more than ``hot`` super-k-mers (passages that very many texts share) are not
-sent to one bucket: their packed strings are collapsed to distinct ones, whose windows are counted by a
+only if its minimiser recurs, so a count of minimisers decides which super-k-mers travel.  Minimisers with
+more than ``hot`` super-k-mers, by default a quarter of an even partition's share of all,
+are not sent to one bucket: their packed strings are collapsed to distinct ones, whose windows are counted by a
 128-bit digest in an aggregation that combines before it shuffles.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` and stay as they are.  Null and empty texts
@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import by_key, map_rows, mix64, words
+from panelcast.llm.common import by_key, map_rows, mix64, partitions, words
 
-WINDOW, MER, HOT, CACHED = 35, 5, 512, 400_000
+WINDOW, MER, CACHED = 35, 5, 400_000
+BYTES_EACH = 110     # a super-k-mer begins about every so many bytes of text
 _HASHES: dict[bytes, int] = {}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,12 +111,15 @@ def _bucket(window: int):
     return run
 
 
-def covered(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def covered(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The distinct texts (h1, h2, text, copies) and the word ranges (h1, h2,
     lo, hi) in them that repeated windows cover."""
     texts = (docs.select(*text_key("text"), F.col("text").cast("binary").alias("text")).groupBy("h1", "h2")
              .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
 
+    fair = F.lit(hot) if hot is not None else docs.agg(F.greatest(
+        F.lit(64), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / (BYTES_EACH * 4 * partitions(docs.sparkSession))).alias("fair")).scalar()
+
     def narrow(cols):
         for h1, h2, text, copies in zip(*cols):
             for key, start, _, recurs in zip(*runs(words(text), window, mer)):
@@ -124,9 +128,9 @@ def covered(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HO
     every = map_rows(texts, narrow, "key long, h1 long, h2 long, start int, times int")
     shared = (every.groupBy("key").agg(F.sum("times").alias("total")).where("total > 1")
               .select(F.col("key").bitwiseXOR(F.lit(0)).alias("key"), "total"))
-    wanted = (every.join(shared.hint("merge"), "key").groupBy("h1", "h2").agg(
-        F.collect_list(F.when(F.col("total") <= hot, F.col("start"))).alias("cold"),
-        F.collect_list(F.when(F.col("total") > hot, F.col("start"))).alias("hot")))
+    wanted = (every.join(shared.hint("merge"), "key").select("h1", "h2", "start", (F.col("total") > fair).alias("many"))
+              .groupBy("h1", "h2").agg(F.collect_list(F.when(~F.col("many"), F.col("start"))).alias("cold"),
+                                       F.collect_list(F.when(F.col("many"), F.col("start"))).alias("hot")))
 
     def packed(cols):
         for h1, h2, text, copies, chosen in zip(*cols):
@@ -170,7 +174,7 @@ def text_key(column: str) -> tuple[F.Column, F.Column]:
     return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
-def kept_texts(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT, verbatim: bool = False) -> DataFrame:
+def kept_texts(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int | None = None, verbatim: bool = False) -> DataFrame:
     """(h1, h2, n_words, n_removed, kept) of every distinct text: the words
     that stay, joined by one blank, as UTF-8; with ``verbatim`` a text that
     loses nothing stays as it is."""
@@ -199,7 +203,7 @@ def attach(docs: DataFrame, per_text: DataFrame, text: str = "text") -> DataFram
     return own.join(per_text.hint("merge"), ["h1", "h2"]).drop("h1", "h2")
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int | None = None) -> DataFrame:
     """``docs`` with n_words, n_removed and its text cut to the words that
     stay, joined by one blank; texts that lose nothing stay as they are (null: empty)."""
     done = kept_texts(docs, window, mer, hot, verbatim=True).withColumn("__text", F.col("kept").cast("string")).drop("kept")
