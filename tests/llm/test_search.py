@@ -15,7 +15,7 @@ def brute(vectors, queries, k):
     return out
 
 
-@pytest.mark.parametrize("scale,shard", [(1, 64), (100, 7), (10 ** 9, 50)])
+@pytest.mark.parametrize("scale,shard", [(1, 64), (100, 7), (10 ** 8, 50)])
 def test_exact_with_ties_and_negatives(spark, scale, shard):
     rng = np.random.default_rng(scale)
     vectors = {i: [int(x) * scale for x in rng.integers(-4, 5, 12)] for i in range(150)}
