@@ -6,7 +6,7 @@ training documents, and a logistic model is fitted to the scaled features by
 gradient descent in numpy.
 
 The model is fitted on a sample bounded by a parameter (rows per class); tasks
-send each sample document's distinct buckets, at most ``buckets`` of them.
+send counts per bucket, and then each sample document's telling buckets.
 The classes' shares among all admitted labels are put back through the bias.
 Every text is scored whole.  Null and empty texts have no features: their
 score comes from the bias.  Null labels are no sample rows; of repeated label
@@ -63,38 +63,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def train(rows: list[tuple[np.ndarray, int]], prior: float, buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES,
-          smoothing: float = 1.0, least: int = 3, clear: float = 4.5, penalty: float = 1e-4,
-          steps: int = 150) -> Model:
-    """Fit on (distinct buckets, label) rows; ``prior`` is the share of label 1
-    to calibrate for.  Buckets in fewer than ``least`` rows are left out, and
-    so are those whose count among toxic rows is within ``clear`` standard
-    deviations of an even spread."""
-    y = np.array([r[1] for r in rows], np.float64)
-    ones = y.sum()
-    if not 0 < ones < len(y):
-        mean = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-        return Model(np.zeros(buckets), float(np.log(mean / (1 - mean))), buckets, sizes)
-    # row by row: a row's buckets are distinct, and no array has an entry for every n-gram of every row
-    seen, seen_1 = np.zeros(buckets, np.int64), np.zeros(buckets)
-    for own, label in rows:
-        seen[own] += 1
-        if label:
-            seen_1[own] += 1
-    p, q = smoothing + seen_1, smoothing + seen - seen_1
+def log_ratios(seen: np.ndarray, seen_1: np.ndarray, n: int, ones: int, smoothing: float = 1.0, least: int = 3,
+               clear: float = 4.5) -> np.ndarray:
+    """Per bucket the log of its share of label 1 rows over its share of the
+    others; 0 for buckets in fewer than ``least`` rows and for those whose count among
+    label 1 rows is within ``clear`` standard deviations of an even spread."""
     # document frequencies against the class sizes, so that text length does not tilt the ratio
-    ratio = np.log(p / (ones + 2 * smoothing)) - np.log(q / (len(y) - ones + 2 * smoothing))
-    # n-grams whose share of toxic rows could be chance tell nothing
-    share = ones / len(y)
+    p, q = smoothing + seen_1, smoothing + seen - seen_1
+    ratio = np.log(p / (ones + 2 * smoothing)) - np.log(q / (n - ones + 2 * smoothing))
+    share = ones / n
     chance = np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    ratio[(seen < least) | (np.abs(seen_1 - seen * share) < clear * chance)] = 0
-    chosen = [own[ratio[own] != 0] for own, _ in rows]
-    row = np.repeat(np.arange(len(rows)), [len(c) for c in chosen])
-    idx = np.concatenate(chosen)
+    return np.where((seen < least) | (np.abs(seen_1 - seen * share) < clear * chance), 0, ratio)
+
+
+def train(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, prior: float, sizes: tuple[int, ...] = SIZES,
+          penalty: float = 1e-4, steps: int = 150, rate: float = 0.1) -> Model:
+    """Fit on (distinct buckets with a ratio, label) rows of both labels;
+    ``prior`` is the share of label 1 to calibrate for."""
+    y = np.array([r[1] for r in rows], np.float64)
+    buckets, ones = len(ratio), y.sum()
+    row = np.repeat(np.arange(len(rows)), [len(own) for own, _ in rows])
+    idx = np.concatenate([own for own, _ in rows])
     value = ratio[idx]
     weight, bias, g_weight, g_bias = np.zeros(buckets), 0.0, np.full(buckets, 1e-8), 1e-8
     side = np.where(y > 0, 0.5 / ones, 0.5 / (len(y) - ones))
-    rate = 0.1
     for _ in range(steps):
         logit = np.bincount(row, value * weight[idx], len(y)) + bias
         err = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y) * side
@@ -109,21 +101,46 @@ def train(rows: list[tuple[np.ndarray, int]], prior: float, buckets: int = BUCKE
 def fit(docs: DataFrame, labels: DataFrame, label: str, ok: F.Column, rows_per_class: int = 1500,
         buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES, prior: float | None = None) -> Model:
     """Fit on labelled rows of ``docs`` (doc_id, text) that ``ok`` admits;
-    ``prior`` overrides the share of label 1 among them."""
+    ``prior`` overrides the share of label 1 among them.  The driver gets a count
+    per bucket, then the sample rows' buckets that tell the labels apart."""
     sample = F.broadcast(sample_labels(labels, label, rows_per_class, ok))     # at most 2 x rows_per_class ids
     chosen = docs.select("doc_id", "text").join(sample, "doc_id")
 
+    def tally(cols):
+        mark, seen, seen_1 = np.zeros(buckets, bool), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        rows = [0, 0]
+        for _, text, y in zip(*cols):
+            own = gram_buckets(text, buckets, sizes, mark)
+            seen[own] += 1
+            seen_1[own] += y
+            rows[y] += 1
+        used = np.flatnonzero(seen)
+        # buckets -1 and -2 count the rows of either label
+        yield from zip((*used.tolist(), -1, -2), (*seen[used].tolist(), *rows), (*seen_1[used].tolist(), 0, 0))
+
+    counts = map_rows(chosen, tally, "bucket int, n long, ones long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow()
+    bucket, n, n_1 = (counts.column(i).to_numpy() for i in range(3))
+    zeros, ones = (int(n[bucket == k].sum()) for k in (-1, -2))
+    if not zeros or not ones:
+        mean = float(np.clip(ones / (zeros + ones) if zeros + ones else 0.5, 1e-3, 1 - 1e-3))
+        return Model(np.zeros(buckets), float(np.log(mean / (1 - mean))), buckets, sizes)
+    seen, seen_1 = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    seen[bucket[bucket >= 0]], seen_1[bucket[bucket >= 0]] = n[bucket >= 0], n_1[bucket >= 0]
+    ratio = log_ratios(seen, seen_1, zeros + ones, ones)
+    telling = ratio != 0
+
     def grams(cols):
         mark = np.zeros(buckets, bool)
         for doc_id, text, y in zip(*cols):
-            yield doc_id, gram_buckets(text, buckets, sizes, mark).astype(np.int32).tobytes(), y
+            own = gram_buckets(text, buckets, sizes, mark)
+            yield doc_id, own[telling[own]].astype(np.int32).tobytes(), y
 
     got = map_rows(chosen, grams, "doc_id long, buckets binary, label int").collect()
     got.sort(key=lambda r: (r[0], r[2], bytes(r[1])))
     if prior is None:
         n = {r[0]: r[1] for r in labels.where(ok & F.col(label).isin(0, 1)).groupBy(label).count().collect()}
         prior = (n.get(1, 0) + 1) / (n.get(0, 0) + n.get(1, 0) + 2)
-    return train([(np.frombuffer(r[1], np.int32), r[2]) for r in got], prior, buckets, sizes)
+    return train([(np.frombuffer(r[1], np.int32), r[2]) for r in got], ratio, prior, sizes)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
