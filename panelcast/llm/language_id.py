@@ -248,8 +248,9 @@ def fit(docs: DataFrame, ok: F.Column, lang: str = "lang", rows_per_lang: int =
     counts: dict[str, dict[str, int]] = {}
     got = (map_rows(chosen, count, "lang string, word string, times long")
            .groupBy("lang", "word").agg(F.sum("times").alias("times")))
-    for name, word, times in got.collect():
-        counts.setdefault(name, {})[word] = times
+    for batch in got.toArrow().to_batches():      # much smaller than rows of Python objects
+        for name, word, times in zip(*(c.to_pylist() for c in batch.columns)):
+            counts.setdefault(name, {})[word] = times
     held: dict[str, list[str]] = {}
     for name, text in chosen.where("at % 5 = 0").select("lang", "text").collect():
         held.setdefault(name, []).append(text)
