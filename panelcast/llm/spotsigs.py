@@ -41,26 +41,26 @@ def _anchors() -> str:
     return "|".join(sorted(set(ANCHORS.split()), key=lambda w: (-len(w), w)))
 
 
-def spots(text: Column) -> tuple[Column, Column]:
-    """(signatures, second set) of a text; the second is null where the first
-    is large enough."""
+def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with a struct column ``name`` (own, every) of the text's sets;
+    ``every`` is null where the first is large enough.  Steps that are used more than once are columns, so
+    that they are evaluated once, and not for every element of an array."""
     some = _anchors()
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     skip = rf"(?:(?:{some}) )*+"
     chain = rf" (?:{some})(?= {skip}([^ ]+ {skip}[^ ]+) )"
-    own = F.transform(F.regexp_extract_all(plain, F.lit(chain), F.lit(1)),
-                      lambda c: F.xxhash64(F.regexp_replace(c, rf" {skip}", " ")))
-    words = F.split(F.trim(plain), " ")
-    every = F.when(F.size(words) == 1, F.array(F.xxhash64(words[0]))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i))))
-    return F.array_sort(F.array_distinct(own)), F.when(F.trim(plain) == "", F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(every)))
-
-
-def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with a struct column ``name`` (own, every) of the text's sets."""
-    own, every = spots(F.col(text))
-    return df.withColumn("__own", own).withColumn(
-        name, F.struct(F.col("__own").alias("own"), F.when(F.size("__own") < FEW, every).alias("every"))).drop("__own")
+    letters = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    chains = F.regexp_extract_all(F.concat(F.lit(" "), "__plain", F.lit(" ")), F.lit(chain), F.lit(1))
+    own = F.transform(chains, lambda c: F.xxhash64(F.regexp_replace(c, rf" {skip}", " ")))
+    words = F.col("__words")
+    every = (F.when(F.col("__plain") == "", F.array().cast("array<bigint>"))
+             .when(F.size(words) == 1, F.array(F.xxhash64(words[0])))
+             .when(words.isNotNull(), F.transform(F.sequence(F.lit(1), F.size(words) - 1),
+                                                  lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i)))))
+    return (df.withColumn("__plain", letters)
+            .withColumn("__own", F.array_sort(F.array_distinct(own)))
+            .withColumn("__words", F.when(F.size("__own") < FEW, F.split("__plain", " ")))
+            .withColumn(name, F.struct(F.col("__own").alias("own"), F.array_sort(F.array_distinct(every)).alias("every")))
+            .drop("__plain", "__own", "__words"))
 
 
 def fingerprint(sets: Column) -> Column:
