@@ -182,7 +182,8 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         spotsigs.fingerprint(own).alias("fingerprint"), spotsigs.fingerprint(edited).alias("edited_fingerprint"),
-        spotsigs.likeness(own, edited).alias("near_edited"), spotsigs.likeness(own, after).alias("near_next"))
+        spotsigs.likeness(own, edited).alias("near_edited"), spotsigs.likeness(own, after).alias("near_next"),
+        "next_id", "next_chars")
 
 
 ORACLES["op5_substring_dedup"] = r"""

@@ -1,7 +1,6 @@
 """Document fingerprints by spot signatures, in SQL functions only.
 
-Text is lower-cased and every run of other characters than letters and digits
-becomes a blank.  At each anchor, a common word, the chain of the next two content
+Text is lower-cased, ASCII white space becomes blanks and ASCII punctuation goes.  At each anchor, a common word, the chain of the next two content
 words (words that are no anchors) is a signature.  Texts with fewer than
 ``FEW`` signatures get a second set, the chains that begin at every word (a
 lone word is a chain).  A fingerprint is the sorted distinct signature hashes in hexadecimal, the
@@ -34,11 +33,14 @@ de la le et les des en un du que une pour est qui dans pas par sur au avec ou
 der die und den von zu das mit sich im auf für nicht ist dem ein als eine
 el y los se del las por con no una su para es al lo
 """
+BLANKS, MARKS = "\t\n\x0b\x0c\r", "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 FEW, PRUNE = 8, 0.05
 
 
 def _anchors() -> str:
-    return "|".join(sorted(set(ANCHORS.split()), key=lambda w: (-len(w), w)))
+    """Pattern of an anchor; the look-ahead turns long words away at once."""
+    words = sorted(set(ANCHORS.split()), key=lambda w: (-len(w), w))
+    return rf"(?=[^ ]{{1,{len(words[0])}}} )(?:{'|'.join(words)})"
 
 
 def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -46,20 +48,21 @@ def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
     ``every`` is null where the first is large enough.  Steps that are used more than once are columns, so
     that they are evaluated once, and not for every element of an array."""
     some = _anchors()
-    skip = rf"(?:(?:{some}) )*+"
-    chain = rf" (?:{some})(?= {skip}([^ ]+ {skip}[^ ]+) )"
-    letters = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    skip = rf"(?:{some} +)*+"
+    chain = rf" {some}(?= +{skip}([^ ]+ +{skip}[^ ]+) )"
+    letters = F.trim(F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), BLANKS + MARKS, " " * len(BLANKS)))
     chains = F.regexp_extract_all(F.concat(F.lit(" "), "__plain", F.lit(" ")), F.lit(chain), F.lit(1))
-    own = F.transform(chains, lambda c: F.xxhash64(F.regexp_replace(c, rf" {skip}", " ")))
+    # anchors may stand between a chain's two words
+    own = F.transform(chains, lambda c: F.xxhash64(F.substring_index(c, " ", 1), F.substring_index(c, " ", -1)))
     words = F.col("__words")
     every = (F.when(F.col("__plain") == "", F.array().cast("array<bigint>"))
              .when(F.size(words) == 1, F.array(F.xxhash64(words[0])))
              .when(words.isNotNull(), F.transform(F.sequence(F.lit(1), F.size(words) - 1),
                                                   lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i)))))
     return (df.withColumn("__plain", letters)
-            .withColumn("__own", F.array_sort(F.array_distinct(own)))
-            .withColumn("__words", F.when(F.size("__own") < FEW, F.split("__plain", " ")))
-            .withColumn(name, F.struct(F.col("__own").alias("own"), F.array_sort(F.array_distinct(every)).alias("every")))
+            .withColumn("__own", F.sort_array(F.array_distinct(own)))
+            .withColumn("__words", F.when(F.size("__own") < FEW, F.filter(F.split("__plain", " "), lambda w: w != "")))
+            .withColumn(name, F.struct(F.col("__own").alias("own"), F.sort_array(F.array_distinct(every)).alias("every")))
             .drop("__plain", "__own", "__words"))
 
 
@@ -104,7 +107,9 @@ def _order(docs: DataFrame) -> DataFrame:
 
 def compare_with_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     """For every row of ``docs`` (doc_id, text): doc_id, n_chars, edited (text), the sets of the
-    text, of the edited text and of the next document, as ``own``, ``edited_own`` and ``next_own``."""
+    text, of the edited text and of the next document, as ``own``, ``edited_own`` and ``next_own``,
+    and the next document's id and length.  Both uses of the joined rows have the same columns, so that
+    Spark shuffles the texts once."""
     plain = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
     plain = plain.withColumn("h", F.xxhash64("text")).withColumn("n_chars", F.length("text").cast("long"))
     # joins need keys without nulls
@@ -114,9 +119,11 @@ def compare_with_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     each = sets.join(before.hint("merge"), ["k1", "k2", "k3"])
     b = F.col("before")
     heads = each.select(F.coalesce(b["doc_id"], F.lit(0)).alias("k1"), b["doc_id"].isNull().alias("k2"), b["h"].alias("k3"),
-                        F.left("text", F.floor(b["n_chars"] / 4).cast("int")).alias("head"), F.col("own").alias("next_own"))
+                        F.left("text", F.floor(b["n_chars"] / 4).cast("int")).alias("head"), F.col("own").alias("next_own"),
+                        F.col("doc_id").alias("next_id"), F.col("n_chars").alias("next_chars"))
     # repeated rows would meet each of their copies' heads
     heads = heads.dropDuplicates(["k1", "k2", "k3"])
     both = each.join(heads.hint("merge"), ["k1", "k2", "k3"])
     edited = both.withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), "head"))
-    return with_spots(edited, "edited", "edited_own").select("doc_id", "n_chars", "edited", "own", "edited_own", "next_own")
+    return with_spots(edited, "edited", "edited_own").select(
+        "doc_id", "n_chars", "next_id", "next_chars", "edited", "own", "edited_own", "next_own")
