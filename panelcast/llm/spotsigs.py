@@ -6,7 +6,7 @@ words (words that are no anchors) is a signature.  Texts with fewer than
 lone word is a chain).  A fingerprint is the sorted distinct signature hashes in hexadecimal, the
 second set after a bar.
 
-Fingerprints are compared by Jaccard similarity, of both sets together where
+Fingerprints are compared by Jaccard similarity, of the union of both sets where
 both have the second, else of the first.  Sets are partitioned by length on a
 logarithmic scale: where the partitions show that the similarity is below
 ``PRUNE``, the sets are not compared and it counts as 0.
@@ -87,7 +87,7 @@ def likeness(a: Column, b: Column) -> Column:
         return (F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when(apart > 1 - math.floor(math.log2(PRUNE)), 0.0)
                 .otherwise(both / F.when(total > 0, total)))
     return F.when(a["every"].isNotNull() & b["every"].isNotNull(),
-                  jaccard(F.concat(a["own"], a["every"]), F.concat(b["own"], b["every"]))).otherwise(jaccard(a["own"], b["own"]))
+                  jaccard(F.array_union(a["own"], a["every"]), F.array_union(b["own"], b["every"]))).otherwise(jaccard(a["own"], b["own"]))
 
 
 def _order(docs: DataFrame) -> DataFrame:

@@ -98,3 +98,14 @@ def test_chains(spark, text, want):
 def test_anchors_between_content_words_are_skipped(spark):
     a, b = [r[0] for r in spotsigs.with_spots(spark.createDataFrame([("the quick brown fox",), ("the quick of the brown fox",)], "t string"), "t", "s").select("s.own").collect()]
     assert a[0] in b
+
+
+def test_equal_short_texts_with_anchors_are_alike(spark):
+    short = ["the quick brown fox", "the cat and the dog sat on a mat", "quick brown fox", "the", "fox"]
+    made = spotsigs.with_spots(spark.createDataFrame([(t, "the quick brown dog") for t in short], "t string, u string"), "t", "s")
+    made = spotsigs.with_spots(made, "u", "v").select("t", spotsigs.likeness(F.col("s"), F.col("s")).alias("same"),
+                                                      spotsigs.likeness(F.col("s"), F.col("v")).alias("other"))
+    got = {r["t"]: r for r in made.collect()}
+    assert {t: got[t]["same"] for t in short} == dict.fromkeys(short, 1.0)
+    # the-quick, quick-brown and brown-fox against the-quick, quick-brown and brown-dog
+    assert got["the quick brown fox"]["other"] == 2 / 4
