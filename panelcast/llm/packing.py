@@ -38,9 +38,10 @@ _RUN = re.compile(r"\s\s")
 
 class Ids:
     """Ids of whole texts as little-endian 32-bit bytes, as the tokenizer in
-    ``path`` gives them.
+    ``path`` gives them without adding special tokens.
 
-    A lone blank between other characters always opens a new token, so texts
+    Texts that hold the string of an added token, such as <|endoftext|>, are encoded whole
+    by that tokenizer, which gives the string the token's id.  In all others, a lone blank between other characters always opens a new token, so texts
     without runs of white space are looked up in chunks that begin at their
     blanks, and only chunks that are new to the worker are encoded.  With ``ranks_path``, a file of
     the same vocabulary as ranks, tiktoken encodes those, which gives the same ids in less time.
@@ -48,6 +49,11 @@ class Ids:
 
     def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
+        from tokenizers import Tokenizer
+        whole = Tokenizer.from_file(path)
+        self.encode_whole = lambda texts: (e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False))
+        added = [re.escape(t.content) for t in whole.get_added_tokens_decoder().values()]
+        self.holds_added = re.compile("|".join(added)).search if added else lambda text: None
         if ranks_path:
             import tiktoken
 
@@ -55,15 +61,12 @@ class Ids:
             own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
             self.encode_all = lambda texts: map(own.encode_ordinary, texts)
         else:
-            from tokenizers import Tokenizer
-            own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True
-            self.encode_all = lambda texts: (e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False))
+            self.encode_all = self.encode_whole
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def tokenize(self, texts: list[str]) -> list[bytes]:
-        return [array("I", ids).tobytes() for ids in self.encode_all(texts)]
+    def tokenize(self, texts: list[str], whole: bool = False) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in (self.encode_whole if whole else self.encode_all)(texts)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of some texts."""
@@ -72,6 +75,9 @@ class Ids:
         new, old, absent, parts = self.new, self.old, {}, []
         for text in texts:
             text = text or ""
+            if self.holds_added(text):
+                parts.append(self.tokenize([text], whole=True)[0])
+                continue
             if not text or text[0].isspace() or text[-1].isspace() or _RUN.search(text):
                 parts.append(text)
                 continue
@@ -91,7 +97,9 @@ class Ids:
         new.update(zip(absent, self.tokenize(absent)))
         out = []
         for part in parts:
-            if isinstance(part, str):
+            if isinstance(part, bytes):
+                out.append(part)
+            elif isinstance(part, str):
                 out.append(self.tokenize([part])[0])
             else:
                 out.append(b"".join([new[x] if isinstance(x, str) else x for x in part] if absent else part))

@@ -101,3 +101,19 @@ def test_pieces_and_packing(spark, edge_docs, no_docs, edge_rows):
         assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist() and sum(n for _, n in own) <= 256
     assert len(bins) <= total / 256 * 1.02 + 2
     assert packing.pack(packing.pieces(no_docs, JSON)).count() == 0
+
+
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+    real = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|> b  c\n", " <|endoftext|> ", "<|endoftext| >", "<|endoftext|", "a b",
+             "plain words", "one two <|endoftext|>three four " * 50]
+    want = [real.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for ids in (packing.Ids(JSON), packing.Ids(JSON, RANKS, public.PATTERN)):
+        for _ in range(2):
+            assert [np.frombuffer(own, "<u4").tolist() for own in ids.encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for more in ({}, {"ranks_path": RANKS, "pattern": public.PATTERN}):
+        got = {r["doc_id"]: r["ids"] for r in packing.pieces(docs, JSON, **more).collect()}
+        assert [got[i] for i in range(len(texts))] == [[*ids, 0] for ids in want]
