@@ -253,9 +253,32 @@ def topn_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("is_best", (c("top_n") == best).cast("int"))
 
 
+# The selective momentum features, and the last seasons that the base features are compared over.
+SELECTIVE = """
+k9_3yr_avg swstr_3yr_avg career_high_k9 years_experience delta_k9 is_improving has_hit_200k momentum_score is_breakout
+coming_off_injury
+""".split()
+LAST_SEASONS = (5, 7, 11)
+
+
+def _seasons_comparison(panel: DataFrame, df: DataFrame) -> DataFrame:
+    """Ridge with the base features on the last 5, 7 and 11 seasons of ``panel``, each fitted on and scored over
+    its own seasons' split of the model table ``df``; change vs the fewest."""
+    # a literal: as a scalar subquery every fit and score would hold the panel's plan again
+    latest = panel.agg(F.max("season")).first()[0] or 0
+    rows = None
+    for n in LAST_SEASONS:
+        train, test = _train_test(df.filter(c("season") > latest - n))
+        m = _metrics(est.fit_and_score(train, test, est.ridge(FEATURES, T, 0.5), [*KEY, T]), f"base, last {n} seasons").withColumn(
+            "n_features", F.lit(len(FEATURES)))
+        rows = m if rows is None else rows.unionByName(m)
+    return _with_change(rows, f"base, last {LAST_SEASONS[0]} seasons")
+
+
 @query("feature_set_comparison", "M21 J8")
 def feature_sets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge on the same split with the 58 base features, + 31 momentum, + 7 availability, + 11 pitch-mix."""
+    """Ridge on the same split with the 58 base features, + 31 momentum, + 10 selective momentum, + 7 availability,
+    + 11 pitch-mix; and with the base features over fewer against more seasons."""
     panel = season_panel(spark, sf_dir)
     enriched = injury_features(momentum_features(panel, SPEC), SPEC)
     side = pitch_side(spark, sf_dir)
@@ -263,6 +286,7 @@ def feature_sets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {
         "base": FEATURES,
         "base+momentum": FEATURES + MOMENTUM_FEATURES,
+        "base+selective": FEATURES + SELECTIVE,
         "base+availability": FEATURES + AVAILABILITY_FEATURES,
         "base+pitch_mix": FEATURES + PITCH_COLS,
     }
@@ -274,7 +298,7 @@ def feature_sets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = _metrics(est.fit_and_score(train, test, est.ridge(feats, T, 0.5), [*KEY, T]), name).withColumn(
             "n_features", F.lit(len(feats)))
         rows = m if rows is None else rows.unionByName(m)
-    return _with_change(rows, "base")
+    return _with_change(rows, "base").unionByName(_seasons_comparison(panel, model_table(spark, sf_dir, extra=panel)))
 
 
 @query("main_projection_rf", "R1 M7 M22 W21")

@@ -33,3 +33,21 @@ def test_ols_predictions_match_lstsq(spark):
     design = np.column_stack([np.ones(n), x])
     want = design @ np.linalg.lstsq(design, y, rcond=None)[0]
     assert np.max(np.abs(got - want)) < 1e-6
+
+
+def test_feature_sets_and_seasons_compared(spark):
+    from panelcast.plans import q_models as q
+    sf = "/root/testdata/sf0.001"
+    got = {r["model"]: r for r in q.feature_sets_q(spark, sf).collect()}
+    assert set(q.SELECTIVE) < set(q.MOMENTUM_FEATURES)
+    assert {m: r["n_features"] for m, r in got.items()} == {
+        "base": 58, "base+momentum": 89, "base+selective": 68, "base+availability": 65, "base+pitch_mix": 69,
+        "base, last 5 seasons": 58, "base, last 7 seasons": 58, "base, last 11 seasons": 58}
+    fewest = got["base, last 5 seasons"]
+    assert got["base"]["mae_change"] == 0 and fewest["mae_change"] == 0
+    # the stand-in has seven seasons, so seven and eleven are the same rows
+    more, most = got["base, last 7 seasons"], got["base, last 11 seasons"]
+    assert abs(more["mae"] - most["mae"]) < 1e-9 and abs(more["mae_change"] - (more["mae"] - fewest["mae"])) < 1e-9
+    test = q.model_table(spark, sf).filter("split = 'test'")
+    last = q.season_panel(spark, sf).agg({"season": "max"}).first()[0]
+    assert fewest["n"] == test.filter(test.season > last - 5).count() < most["n"] == test.count()
