@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelcast.models.baseline import baseline_scored
 from panelcast.models.split import hash_split
 from panelcast.operators.evaluate import (
-    accuracy_bands, bias_rules, deployment_summary, directional_accuracy, error_by_flag, error_by_prior_level,
+    BIAS_RULES, accuracy_bands, bias_rules, deployment_summary, directional_accuracy, error_by_flag, error_by_prior_level,
     error_by_role, error_by_tier, error_quartiles, error_table, intervals, regression_metrics,
 )
 from panelcast.operators.profile import target_correlation
@@ -189,6 +189,15 @@ def bias_rules_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bias_rules(test_errors(spark, sf_dir)).drop("suggestion")
 
 
+@query("bias_suggestions", "E12", eq("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{r}' AS rule, COALESCE(avg(CASE WHEN {cond} THEN error END), 0.0) AS bias, '{text}' AS suggestion "
+    f"FROM errs HAVING abs(COALESCE(avg(CASE WHEN {cond} THEN error END), 0.0)) > {t}" for r, cond, t, text in BIAS_RULES) + ")",
+    keep=("rule", "suggestion")))
+def bias_suggestions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The improvement suggestions of the rules that fire, with their biases."""
+    return bias_rules(test_errors(spark, sf_dir)).where("fires = 1").select("rule", "bias", "suggestion")
+
+
 _WORST = ["player_id", "season", "actual", "predicted", "error", "abs_error", "is_starter", "k_per_9",
           "total_innings_pitched", "age"]
 

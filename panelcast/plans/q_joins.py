@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.features import pitch_mix_features
 from panelcast.operators.filters import with_target
-from panelcast.operators.impute import fill_constants, median_impute, null_profile, typed_impute
+from panelcast.operators.impute import fill_constants, fill_counts, median_impute, null_profile, typed_impute
 from panelcast.operators.joins import absent_entities, left_join_normalized, match_rate, missing_periods
 from panelcast.operators.profile import rows_per_period
 from panelcast.plans import oracle_base as ob
@@ -81,6 +81,16 @@ def pitch_mix_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return median_impute(pitch_joined(spark, sf_dir), PITCH_COLS)
 
 
+@query("pitch_fill_counts", "P18",
+       ob.panel_query(
+           " UNION ALL ".join(f"SELECT '{x}' AS column_name, count(*) - count({x}) AS filled, "
+                              f"CAST(quantile_cont({x}, 0.5) AS DOUBLE) AS fill_value FROM joined" for x in PITCH_COLS),
+           keep=("column_name",), extra_ctes=PITCH_CTES))
+def pitch_fill_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of each pitch-mix column ``pitch_mix_join`` fills, and with what."""
+    return fill_counts(pitch_joined(spark, sf_dir), PITCH_COLS)
+
+
 @query("pitch_match_rate", "J2",
        ob.panel_query(
            "SELECT count(CASE WHEN COALESCE(" + ", ".join(f"CAST({x} AS DOUBLE)" for x in PITCH_COLS)

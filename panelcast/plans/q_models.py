@@ -62,11 +62,13 @@ def _metrics(scored: DataFrame, name: str) -> DataFrame:
 
 def _with_change(metrics: DataFrame, baseline: str) -> DataFrame:
     """MAE change against the baseline model, in units and percent, with
-    the +-0.5 units verdict."""
+    the +-0.5 units verdict and that of improvements above 1 and 0 percent."""
     base = metrics.filter(c("model") == baseline).select(c("mae").alias("_base")).scalar()
     out = metrics.withColumns({"mae_change": c("mae") - base, "pct_change_vs_baseline": (c("mae") - base) / F.nullif(base, F.lit(0.0)) * 100})
-    return out.withColumn("verdict", F.when(c("mae_change") < -0.5, F.lit("better"))
-                          .when(c("mae_change") > 0.5, F.lit("worse")).otherwise(F.lit("same")))
+    return out.withColumns({
+        "verdict": F.when(c("mae_change") < -0.5, F.lit("better")).when(c("mae_change") > 0.5, F.lit("worse")).otherwise(F.lit("same")),
+        "pct_verdict": F.when(c("pct_change_vs_baseline") < -1, F.lit("improved"))
+                        .when(c("pct_change_vs_baseline") < 0, F.lit("marginal")).otherwise(F.lit("not improved"))})
 
 
 @query("model_comparison", "M2 M3 M4 M5 M7 M8 M15 M16 M20")

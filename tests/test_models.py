@@ -51,3 +51,12 @@ def test_feature_sets_and_seasons_compared(spark):
     test = q.model_table(spark, sf).filter("split = 'test'")
     last = q.season_panel(spark, sf).agg({"season": "max"}).first()[0]
     assert fewest["n"] == test.filter(test.season > last - 5).count() < most["n"] == test.count()
+
+
+def test_verdicts_in_units_and_percent(spark):
+    from panelcast.plans.q_models import _with_change
+    maes = {"base": 20.0, "a": 19.7, "b": 19.9, "c": 20.0, "d": 20.6, "e": 19.0}
+    got = _with_change(spark.createDataFrame(list(maes.items()), "model string, mae double"), "base").collect()
+    assert {r["model"]: (r["verdict"], r["pct_verdict"]) for r in got} == {
+        "base": ("same", "not improved"), "a": ("same", "improved"), "b": ("same", "marginal"), "c": ("same", "not improved"),
+        "d": ("worse", "not improved"), "e": ("better", "improved")}
