@@ -218,3 +218,51 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(doc_
        coalesce(least(doc_id, b), doc_id) = doc_id AS kept
 FROM texts LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id
 """
+
+
+@register
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, noisy score and rank of every document towards the benchmark's texts."""
+    from panelcast.llm import resampling
+    from panelcast.llm.common import table
+
+    drawn = resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+    return drawn.select("doc_id", "n_words", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op12_resampling"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT 'd' AS side, doc_id, coalesce(text, '') AS text FROM documents
+    UNION ALL SELECT 'b', NULL, coalesce(text, '') FROM benchmark),
+words AS (
+    SELECT side, doc_id, row_number() OVER () AS row, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+grams AS (
+    SELECT side, row, array_to_string(ws[i:i + k - 1], ' ') AS gram
+    FROM (SELECT side, row, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS k))),
+-- crc32 by half bytes; the sixteen table entries are fixed values of the polynomial
+crcs AS (
+    SELECT gram, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, octet_length(encode(gram))), lambda i: [
+            instr('0123456789ABCDEF', hex(encode(gram))[2 * i + 2]) - 1, instr('0123456789ABCDEF', hex(encode(gram))[2 * i + 1]) - 1]))),
+        lambda c, d: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+                                  3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][1 + (xor(c, d) & 15)])
+        ), 4294967295::BIGINT) % 10000 AS bucket
+    FROM (SELECT DISTINCT gram FROM grams)),
+hashed AS (SELECT side, row, bucket FROM grams JOIN crcs USING (gram)),
+sums AS (SELECT count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM hashed),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((count(*) FILTER (side = 'b') + 1)::DOUBLE * (any_value(sums.s) + 10000)::DOUBLE
+        / ((count(*) FILTER (side = 'd') + 1)::DOUBLE * (any_value(sums.t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+    FROM hashed, sums GROUP BY bucket),
+weights AS (SELECT row, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM hashed JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM words LEFT JOIN weights USING (row) WHERE side = 'd'),
+ranked AS (
+    SELECT doc_id, score, n_features, weight, n_words, CASE WHEN n_words >= 20 THEN
+        row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place FROM scored)
+SELECT doc_id, n_words, n_features, weight, score,
+       CASE WHEN place <= (SELECT count(*) FROM scored WHERE n_words >= 20) * 5 // 100 THEN place END AS rank FROM ranked
+"""
