@@ -266,3 +266,49 @@ ranked AS (
 SELECT doc_id, n_words, n_features, weight, score,
        CASE WHEN place <= (SELECT count(*) FROM scored WHERE n_words >= 20) * 5 // 100 THEN place END AS rank FROM ranked
 """
+
+
+@register
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license notices of every text."""
+    from panelcast.llm import licenses
+    from panelcast.llm.common import table
+
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _licenses_sql() -> str:
+    from panelcast.llm.licenses import LINES, PERCENT, PHRASES, TEMPLATES
+
+    def rows(pairs):
+        return ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+
+    return rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row, doc_id,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+words AS (SELECT row, doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+phrases AS (SELECT string_split(phrase, ' ') AS ps, label FROM (VALUES {rows(PHRASES.items())}) AS p(phrase, label)),
+places AS (
+    SELECT row, label, i - 1 AS start FROM (SELECT row, ws, unnest(range(1, len(ws) + 1)) AS i FROM words) w
+    JOIN phrases ON ws[i] = ps[1] AND ws[i:i + len(ps) - 1] = ps),
+templates AS (SELECT label, list_distinct(string_split(body, ' ')) AS ts FROM (VALUES {rows(TEMPLATES)}) AS t(label, body)),
+lines AS (SELECT row, regexp_split_to_array(low, '[\x0A-\x0D]+') AS ls FROM texts),
+blocks AS (
+    SELECT row, regexp_extract_all(array_to_string(ls[i:i + {LINES - 1}], ' '), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS bs
+    FROM (SELECT row, ls, unnest(range(1, greatest(len(ls) - {LINES - 2}, 2))) AS i FROM lines)),
+hits AS (
+    SELECT row, label, len(list_intersect(ts, bs)) / len(ts)::DOUBLE AS share
+    FROM blocks JOIN templates ON 100 * len(list_intersect(ts, bs)) >= {PERCENT} * len(ts)),
+base AS (SELECT row, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+                list_sort(list_distinct(list(label))) AS own FROM places GROUP BY row),
+more AS (SELECT row, list(label) AS found, max(share) AS share FROM hits GROUP BY row)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(own, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(found, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM words LEFT JOIN base USING (row) LEFT JOIN more USING (row)
+"""
+
+
+ORACLES["op13_licenses"] = _licenses_sql()
