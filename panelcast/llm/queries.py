@@ -312,3 +312,37 @@ FROM words LEFT JOIN base USING (row) LEFT JOIN more USING (row)
 
 
 ORACLES["op13_licenses"] = _licenses_sql()
+
+
+@register
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of two or three words."""
+    from panelcast.llm import collocations
+    from panelcast.llm.common import table
+
+    return collocations.mine(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, regexp_extract_all(part, '[^\x20\x09]+') AS ws
+    FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[.,;:!?\x0A-\x0D]')) AS part FROM documents)),
+grams AS (
+    SELECT lang, k, ws[i:i + k - 1] AS p FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS k))),
+f AS (SELECT lang, k, p, count(*) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cuts AS (
+    SELECT c.lang, c.k, c.p, c.a, x.a AS l, y.a AS r, c.cut, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c
+    JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.cut] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.cut + 1:c.k]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+longer AS (SELECT lang, p, a FROM cand WHERE k = 3),
+inside AS (SELECT lang, q, max(a) AS a FROM (SELECT lang, p[1:2] AS q, a FROM longer UNION ALL SELECT lang, p[2:3], a FROM longer) GROUP BY lang, q),
+stay AS (SELECT w.* FROM lowest w LEFT JOIN inside i ON i.lang = w.lang AND i.q = w.p WHERE w.k = 3 OR i.a IS NULL OR 100 * i.a < 50 * w.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score::BIGINT AS score
+    FROM (SELECT *, array_to_string(p, ' ') AS phrase FROM stay)) JOIN n USING (lang)
+WHERE rank <= 2000
+"""
