@@ -7,23 +7,23 @@ words are what stands between blanks.  Counts are kept per language.
    written as its distinct words and their local codes (0 ends a piece).
 2. Words that occur ``least`` times or more get ids by falling frequency.  Rarer words
    end phrases like punctuation: no phrase that holds one can be frequent.
-3. A pair of neighbouring ids falls into a tile of the id plane.  Tiles are 64 ids wide at
-   the frequent end, double up to ``WIDTH`` and stay at that.  Within a stretch, and
-   again where stretches meet, well-filled tiles are counted by a dense
-   ``bincount`` and the others as sorted (code, count) lists.
+3. A pair of neighbouring ids falls into a tile of the id plane.  Tiles are ``HEAD`` ids wide at
+   the frequent end and then double, so that all hold a like share of the text and
+   their number hardly grows with it.  Within a stretch, and again where stretches meet,
+   well-filled tiles are counted by a dense ``bincount`` and the others as sorted (code, count) lists.
 4. Pairs with ``least`` occurrences are ranked by frequency in turn: their ids go
    back, tile by tile, to the stretches that hold them, where (pair id, next word id) is
    counted in tiles in the same way, which gives the phrases of three words.
 
 A tile is dealt as ``strips`` code ranges, so more partitions mean smaller shares; a
-task holds one stretch, or one strip of at most ``WIDTH`` squared codes, at a time.
+task holds one stretch, or the distinct codes of one strip, at a time.
 Nothing is collected and no dictionary is broadcast.  Ranks are numbered
 over range partitions, so that a language with most of the rows is dealt like the others.
 
 Null and empty texts have no words.  A null language is ``und``.  Very long texts are
 several stretches, cut at piece ends.  Repeated rows count again.  Ties in rank
 go by count and phrase; an empty table gives no rows.  Other columns are ignored.
-Scores are exact for counts up to 10^15.
+Scores are exact for counts up to 10^15; the ids of a pair may take 62 bits together.
 """
 
 from __future__ import annotations
@@ -37,10 +37,9 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import partitions, ship_package, written
 
-TOKENS, STRETCH = 1 << 20, 1 << 22       # words a stretch, bytes of text looked at together
-WIDTH, DENSE = 2048, 16                  # widest tile side; a tile is dense with one occurrence per so many cells
+TOKENS, STRETCH = 1 << 21, 1 << 22       # words a stretch, bytes of text looked at together
+HEAD, CELLS, DENSE = 64, 1 << 22, 16     # first tile side; most cells of a dense strip, and cells per occurrence
 CUT = b"\xff"                            # stands in no UTF-8 text
-_EDGES = np.array([0, 64, 128, 256, 512, 1024, WIDTH], np.int64)
 _LETTERS = bytes(255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -110,62 +109,56 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str, what: str) -> Data
 
 
 def band(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < WIDTH, np.searchsorted(_EDGES, ids, "right") - 1, ids // WIDTH + len(_EDGES) - 2)
+    """0 for the first ``HEAD`` ids, then one band a doubling."""
+    return np.maximum(np.frexp(np.asarray(ids, np.float64))[1] - HEAD.bit_length() + 1, 0).astype(np.int64)
 
 
 def start(bands: np.ndarray) -> np.ndarray:
-    few = len(_EDGES) - 1
-    return np.where(bands < few, _EDGES[np.minimum(bands, few)], (bands - few + 1) * WIDTH)
+    return np.where(np.asarray(bands) > 0, np.int64(HEAD) << np.maximum(np.asarray(bands, np.int64) - 1, 0), 0)
 
 
 def width(bands: np.ndarray) -> np.ndarray:
-    return start(bands + 1) - start(bands)
+    return np.int64(HEAD) << np.maximum(np.asarray(bands, np.int64) - 1, 0)
 
 
-def place(left: np.ndarray, right: np.ndarray, strips: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tile row, tile column, strip and code in the tile of id pairs."""
-    i, j = band(left), band(right)
-    code = (left - start(i)) * width(j) + right - start(j)
-    return i, j, code * strips // (width(i) * width(j)), code
+def step(i: np.ndarray, j: np.ndarray, strips: int) -> np.ndarray:
+    """Cells of a strip of a tile."""
+    return -(-(width(i) * width(j)) // strips)
+
+
+def code_type(i: int, j: int) -> type:
+    return np.uint32 if int(width(i)) * int(width(j)) <= 1 << 32 else np.int64
 
 
 def unplace(i: int, j: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.int64(i), np.int64(j)
     return code // width(j) + start(i), code % width(j) + start(j)
 
 
-def groups(left: np.ndarray, right: np.ndarray, strips: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs sorted by tile strip: their order, codes, the strips' (row, column, strip) and bounds."""
-    i, j, s, code = place(left, right, strips)
-    order = np.lexsort((s, j, i))
-    i, j, s, code = i[order], j[order], s[order], code[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (np.diff(i) != 0) | (np.diff(j) != 0) | (np.diff(s) != 0)
-    lows = np.flatnonzero(new)
-    return order, code, np.stack([i[lows], j[lows], s[lows]]), lows, np.append(lows[1:], len(i)), np.cumsum(new) - 1
+def groups(left: np.ndarray, right: np.ndarray, strips: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(tile row, tile column, strip, positions, codes in the tile) of id pairs, strip by strip."""
+    i, j = band(left), band(right)
+    code = (left - start(i)) * width(j) + right - start(j)
+    s = code // step(i, j, strips)
+    key = (i * 64 + j) * strips + s
+    # numpy sorts 16-bit keys in linear time
+    order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
+        at = order[lo:hi]
+        yield int(i[at[0]]), int(j[at[0]]), int(s[at[0]]), at, code[at]
 
 
 def tally(left: np.ndarray, right: np.ndarray, strips: int) -> list[tuple]:
-    """(row, column, strip, codes, counts) of id pairs: full strips by dense counts, the others by one sort."""
-    if not len(left):
-        return []
-    _, code, (i, j, s), lows, ends, of = groups(left, right, strips)
-    cells = width(i) * width(j) // strips + 1
-    dense = (ends - lows) * DENSE >= cells
+    """(row, column, strip, codes, counts) of id pairs: well-filled strips by dense counts, the others sorted."""
     out = []
-    for k in np.flatnonzero(dense).tolist():
-        own = code[lows[k]:ends[k]]
-        least = own.min()
-        n = np.bincount(own - least)
-        used = np.flatnonzero(n)
-        out.append((i[k], j[k], s[k], used + least, n[used]))
-    rest = ~dense[of]
-    if rest.any():
-        packed, n = np.unique((of[rest] << 22) | code[rest], return_counts=True)
-        own, code = packed >> 22, packed & ((1 << 22) - 1)
-        cuts = np.flatnonzero(np.diff(own, prepend=-1))
-        for k, lo, hi in zip(own[cuts].tolist(), cuts, np.append(cuts[1:], len(own))):
-            out.append((i[k], j[k], s[k], code[lo:hi], n[lo:hi]))
+    for i, j, s, _, code in groups(left, right, strips):
+        cells = int(step(i, j, strips))
+        if cells <= CELLS and len(code) * DENSE >= cells:
+            n = np.bincount(code - s * cells)
+            used = np.flatnonzero(n)
+            out.append((i, j, s, used + s * cells, n[used]))
+        else:
+            out.append((i, j, s, *np.unique(code, return_counts=True)))
     return out
 
 
@@ -177,40 +170,45 @@ def chunk_rows(lang: str, batch: int, tallied: list[tuple]) -> pa.RecordBatch:
     i, j, s, codes, counts = zip(*tallied)
     return pa.RecordBatch.from_arrays([
         pa.array([lang] * len(i)), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(s, pa.int64()), pa.array([batch] * len(i), pa.int64()),
-        pa.array([c.astype(np.uint32).tobytes() for c in codes], pa.binary()),
+        pa.array([c.astype(code_type(a, b)).tobytes() for a, b, c in zip(i, j, codes)], pa.binary()),
         pa.array([c.astype(np.int64).tobytes() for c in counts], pa.binary())], schema=_CHUNK)
 
 
-class Tile:
+class Strip:
     """Counts of one strip: sorted lists, or a dense array once it is filled well enough."""
 
     def __init__(self, i: int, j: int, s: int, strips: int):
-        cells = int(width(np.int64(i)) * width(np.int64(j)))
-        self.low, high = -(-s * cells // strips), -(-(s + 1) * cells // strips)
-        self.cells, self.parts, self.held, self.dense = high - self.low, [], 0, None
+        self.cells = int(step(i, j, strips))
+        self.low, self.parts, self.held, self.limit, self.dense = s * self.cells, [], 0, 1 << 18, None
 
     def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        if self.dense is None:
-            self.parts.append((codes.copy(), counts.copy()))        # not the Arrow batch they lie in
-            self.held += len(codes)
-            if self.held * DENSE < self.cells:
-                return
+        if self.dense is not None:
+            self.dense[codes.astype(np.int64) - self.low] += counts     # codes of one chunk are distinct
+            return
+        self.parts.append((codes.astype(np.int64), counts.copy()))      # not the Arrow batch they lie in
+        self.held += len(codes)
+        if self.cells <= CELLS and self.held * DENSE >= self.cells:
             self.dense, parts, self.parts = np.zeros(self.cells, np.int64), self.parts, []
-        else:
-            parts = [(codes, counts)]
-        for c, n in parts:
-            self.dense[c.astype(np.int64) - self.low] += n      # codes of one chunk are distinct
+            for c, n in parts:
+                self.dense[c - self.low] += n
+        elif self.held > self.limit:
+            self.parts = [self.merged()]
+            self.held = len(self.parts[0][0])
+            self.limit = max(self.limit, 2 * self.held)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        codes, counts = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        cuts = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[cuts], np.add.reduceat(counts, cuts)
 
     def frequent(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         if self.dense is not None:
             used = np.flatnonzero(self.dense >= least)
             return used + self.low, self.dense[used]
-        codes = np.concatenate([c for c, _ in self.parts]).astype(np.int64)
-        counts = np.concatenate([n for _, n in self.parts])
-        used, at = np.unique(codes, return_inverse=True)
-        total = np.zeros(len(used), np.int64)
-        np.add.at(total, at, counts)
-        return used[total >= least], total[total >= least]
+        codes, total = self.merged()
+        return codes[total >= least], total[total >= least]
 
 
 def dealt(df: DataFrame, *also: str) -> DataFrame:
@@ -235,8 +233,8 @@ def frequent(chunks: DataFrame, least: int, strips: int) -> DataFrame:
                 if own != key:
                     if tile is not None:
                         yield done(key, tile)
-                    key, tile = own, Tile(*own[1:], strips)
-                tile.add(np.frombuffer(batch.column(4)[row].as_buffer(), np.uint32), np.frombuffer(batch.column(5)[row].as_buffer(), np.int64))
+                    key, tile = own, Strip(*own[1:], strips)
+                tile.add(np.frombuffer(batch.column(4)[row].as_buffer(), code_type(*own[1:3])), np.frombuffer(batch.column(5)[row].as_buffer(), np.int64))
         if tile is not None:
             yield done(key, tile)
 
@@ -283,8 +281,7 @@ def pair_ids(chunks: DataFrame, pairs: DataFrame, strips: int) -> DataFrame:
             left, right, ids = (batch.column(k).to_numpy() for k in (1, 2, 3))
             for lang in sorted(set(langs)):
                 at = np.flatnonzero(langs == lang)
-                order, code, keys, lows, ends, _ = groups(left[at], right[at], strips)
-                yield chunk_rows(lang, -1, [(*keys[:, k].tolist(), code[lo:hi], ids[at][order[lo:hi]]) for k, (lo, hi) in enumerate(zip(lows, ends))])
+                yield chunk_rows(lang, -1, [(i, j, s, code, ids[at[own]]) for i, j, s, own, code in groups(left[at], right[at], strips)])
 
     arrow = pa.schema([("batch", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("codes", pa.binary()), ("ids", pa.binary())])
 
@@ -296,9 +293,9 @@ def pair_ids(chunks: DataFrame, pairs: DataFrame, strips: int) -> DataFrame:
             for row, (*own, number) in enumerate(zip(*columns)):
                 if own != key:
                     key, parts, table = own, [], None
-                codes = np.frombuffer(batch.column(5)[row].as_buffer(), np.uint32)
+                codes = np.frombuffer(batch.column(5)[row].as_buffer(), code_type(*own[1:3]))
                 if number < 0:      # the strip's pairs come first
-                    parts.append((codes, np.frombuffer(batch.column(6)[row].as_buffer(), np.int64).copy()))
+                    parts.append((codes.copy(), np.frombuffer(batch.column(6)[row].as_buffer(), np.int64).copy()))
                     continue
                 if table is None and parts:
                     codes_, ids = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
@@ -328,11 +325,14 @@ def triple_chunks(streams: DataFrame, answers: DataFrame, strips: int) -> DataFr
         key = np.searchsorted(own, left) * len(own) + np.searchsorted(own, right)
         order = np.argsort(key)
         key, ids = key[order], ids[order]
-        want = at[:-1] * len(own) + at[1:]
+        both = np.flatnonzero((words[:-1] >= 0) & (words[1:] >= 0))
+        want = at[both] * len(own) + at[both + 1]
         where = np.minimum(np.searchsorted(key, want), len(key) - 1)
-        pair = np.where(key[where] == want, ids[where], -1)
-        both = (pair[:-1] >= 0) & (pair[1:] >= 0)
-        return tally(pair[:-1][both], words[2:][both], strips)
+        hit = key[where] == want
+        pair = np.full(len(words), -1, np.int64)
+        pair[both[hit]] = ids[where[hit]]
+        both = np.flatnonzero((pair[:-2] >= 0) & (pair[1:-1] >= 0))
+        return tally(pair[both], words[both + 2], strips)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts = None, []
@@ -343,7 +343,7 @@ def triple_chunks(streams: DataFrame, answers: DataFrame, strips: int) -> DataFr
                     number, parts = own, []
                 ids = np.frombuffer(batch.column(6)[row].as_buffer(), np.int64)
                 if not last:
-                    left, right = unplace(i, j, np.frombuffer(batch.column(5)[row].as_buffer(), np.uint32).astype(np.int64))
+                    left, right = unplace(i, j, np.frombuffer(batch.column(5)[row].as_buffer(), code_type(i, j)).astype(np.int64))
                     parts.append((left, right, ids.copy()))
                 elif parts and (found := triples(ids, parts)):
                     yield chunk_rows(lang, own, found)

@@ -89,13 +89,13 @@ def test_empty_tables(spark, no_docs, edge_docs):
 def test_tiles_count_like_a_counter():
     rng = np.random.default_rng(7)
     for strips in (1, 3, 64):
-        left = np.minimum(rng.zipf(1.3, 60_000), 10 ** 7) - 1
+        left = np.minimum(rng.zipf(1.3, 60_000), 10 ** 9) - 1
         right = np.minimum(rng.zipf(1.2, 60_000), 10 ** 7) - 1
         want = Counter(zip(left.tolist(), right.tolist()))
         got, tiles = {}, {}
         for part in np.array_split(np.arange(len(left)), 5):
             for i, j, s, codes, counts in co.tally(left[part], right[part], strips):
-                tiles.setdefault((i, j, s), co.Tile(i, j, s, strips)).add(codes.astype(np.uint32), counts)
+                tiles.setdefault((i, j, s), co.Strip(i, j, s, strips)).add(codes.astype(co.code_type(i, j)), counts)
         assert any(t.dense is not None for t in tiles.values()) and any(t.dense is None for t in tiles.values())
         for (i, j, _), tile in tiles.items():
             codes, n = tile.frequent(1)
