@@ -127,23 +127,6 @@ def ensemble(models: Mapping[str, PipelineModel], weights: Mapping[str, float],
     return out.withColumn("predicted", pred).select(*keep, *[f"pred_{n}" for n in models], "predicted")
 
 
-MAX_SEGMENTS = 100
-
-
-def fit_by_segment(train: DataFrame, test: DataFrame, segment: str, factory: Factory,
-                   keep: Sequence[str]) -> DataFrame:
-    """One model per segment value (few segments), predictions recombined."""
-    values = [r[0] for r in train.select(segment).where(c(segment).isNotNull()).distinct().limit(MAX_SEGMENTS + 1).collect()]
-    if len(values) > MAX_SEGMENTS:
-        raise ValueError(f"{segment} has more than {MAX_SEGMENTS} values: not a segment column")
-    parts = [fit_and_score(train.filter(c(segment) == v), test.filter(c(segment) == v), factory, keep)
-             for v in sorted(values)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def importances(model: PipelineModel, features: Sequence[str], new_features: Sequence[str] = ()) -> list[tuple]:
     """(feature, importance, rank, is_new) from tree importances or |coefficients|."""
     last = model.stages[-1]

@@ -43,15 +43,3 @@ def with_folds(df: DataFrame, k: int = 5, spec: PanelSpec = DEFAULT_SPEC, by: st
                name: str = "fold") -> DataFrame:
     """k-fold assignment from the same hash: fold = bucket mod k."""
     return df.withColumn(name, (hash_bucket(split_key(spec, by), 100) % k).cast("int"))
-
-
-def nested_train_mask(bucket: str, share: float, test_share: float = 0.2) -> Column:
-    """Learning-curve training subsets: rows outside the fixed test buckets
-    whose bucket falls in the first ``share`` of the training range, so
-    larger shares contain the smaller ones."""
-    lo = int(round(test_share * 100))
-    return (c(bucket) >= lo) & (c(bucket) < lo + F.lit(share * (100 - lo)))
-
-
-def train_test(df: DataFrame, name: str = "split") -> Sequence[DataFrame]:
-    return df.filter(c(name) == "train"), df.filter(c(name) == "test")

@@ -170,7 +170,9 @@ def quadratic_trend(df: DataFrame, x: str, y: str) -> DataFrame:
         return a11 * (a22 * a33 - a23 * a32) - a12 * (a21 * a33 - a23 * a31) + a13 * (a21 * a32 - a22 * a31)
 
     # normal equations in the centred variable u: [s4 s3 s2; s3 s2 s1; s2 s1 s0] [A B C]' = [t2 t1 t0]'
-    det = det3(s4, s3, s2, s3, s2, s1, s2, s1, s0)
+    # fewer than three distinct x: what is left of the determinant is rounding error
+    raw = det3(s4, s3, s2, s3, s2, s1, s2, s1, s0)
+    det = F.when(F.abs(raw) > 1e-12 * s4 * s2 * s0, raw)
     a = det3(t2, s3, s2, t1, s2, s1, t0, s1, s0) / det
     b = det3(s4, t2, s2, s3, t1, s1, s2, t0, s0) / det
     cc = det3(s4, s3, t2, s3, s2, t1, s2, s1, t0) / det

@@ -1,4 +1,6 @@
-"""Model-training queries (M2-M13, M16-M22, S7): rows-only checks, no SQL oracle.
+"""Model-training queries (M2-M13, M16-M22, S7).  Linear models come from
+``models.gram``: one scan gathers moments, which every training set of an experiment
+shares; those with a closed form have an SQL oracle.
 
 The model table (labelled, complete rows with the hash split) is written
 once per query with a reliable checkpoint into the cluster's checkpoint
@@ -10,37 +12,30 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.models import estimators as est
-from panelcast.models.split import hash_split, nested_train_mask, with_bucket, with_folds
+from panelcast.models import gram
+from panelcast.models.split import hash_split, with_bucket, with_folds
 from panelcast.operators.composite import injury_features, momentum_features
 from panelcast.operators.evaluate import regression_metrics
 from panelcast.operators.filters import drop_incomplete, with_target
+from panelcast.plans import oracle_models as om
 from panelcast.plans.panel import season_panel
 from panelcast.plans.q_joins import PITCH_COLS, pitch_side
 from panelcast.operators.impute import column_medians, median_impute
 from panelcast.operators.joins import left_join_normalized
+from panelcast.operators.rank import best_by
 from panelcast.plans.registry import query
 from panelcast.session import ensure_checkpoint_dir
-from panelcast.spec import AVAILABILITY_FEATURES, DEFAULT_SPEC, MODEL_FEATURES, MOMENTUM_FEATURES
+from panelcast.spec import AVAILABILITY_FEATURES, DEFAULT_SPEC, ENGINEERED, MODEL_FEATURES, MOMENTUM_FEATURES, SELECTIVE
 
 c = F.col
 SPEC = DEFAULT_SPEC
 KEY = ["player_id", "season"]
 T = SPEC.target
 FEATURES = list(MODEL_FEATURES)
-# The features that count as newly engineered.
-ENGINEERED = """
-is_ace is_high_k_pitcher is_workhorse log_total_strikeouts is_starter is_reliever k9_x_starter swstr_x_starter
-ip_x_starter swstr_x_ip k9_x_era age_x_ip stuff_x_command workload_stress
-""".split()
-
-
 def model_table(spark: SparkSession, sf_dir: str, extra: DataFrame | None = None,
                 features: list[str] = FEATURES) -> DataFrame:
     """Labelled rows without NULL features (P4, P5) plus split/bucket/fold columns, checkpointed."""
@@ -60,6 +55,16 @@ def _metrics(scored: DataFrame, name: str) -> DataFrame:
     return regression_metrics(scored.withColumnRenamed(T, "actual")).withColumn("model", F.lit(name))
 
 
+def _held(df: DataFrame, *by: str, features: list[str] = FEATURES) -> dict[tuple, gram.Moments]:
+    """Moments of the features and the label by keys of a fixed number (split, fold, bucket, season)."""
+    return gram.collect(gram.moments_by(df, [*features, T], by))
+
+
+def _compared(df: DataFrame, models: dict[str, tuple[gram.Linear, list[str]]], name: str = "model", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Metrics of several linear models over the same rows, from one pass."""
+    return regression_metrics(gram.score_all(df, models, T, keep, name), group=[name, *keep])
+
+
 def _with_change(metrics: DataFrame, baseline: str) -> DataFrame:
     """MAE change against the baseline model, in units and percent, with
     the +-0.5 units verdict and that of improvements above 1 and 0 percent."""
@@ -102,32 +107,28 @@ def ensemble_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(est.ensemble(models, weights, test, [*KEY, T]), "ensemble")
 
 
-@query("segment_models", "M10 M15")
+@query("segment_models", "M10 M15", om.SEGMENTS)
 def segment_models_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Separate ridge models for starters and relievers, recombined; per-segment and overall metrics."""
+    """Separate ridge models for starters and relievers, fitted and scored in one pass each; per-segment and overall metrics."""
     df = model_table(spark, sf_dir)
     train, test = _train_test(df)
-    scored = est.fit_by_segment(train, test, "is_starter", est.ridge(FEATURES, T, 0.5), [*KEY, "is_starter", T])
-    per = regression_metrics(scored.withColumnRenamed(T, "actual"), group=["is_starter"]).withColumn(
-        "segment", F.concat(F.lit("is_starter="), c("is_starter").cast("string"))).drop("is_starter")
-    overall = _metrics(scored, "segmented").withColumnRenamed("model", "segment")
-    return per.unionByName(overall.select(*per.columns))
+    models = gram.ridge_by(gram.moments_by(train, [*FEATURES, T], ["is_starter"]), ["is_starter"], 0.5)
+    scored = gram.score_by(test, models, ["is_starter"], FEATURES, [T]).withColumnRenamed(T, "actual")
+    per = regression_metrics(scored.withColumn("segment", F.concat(F.lit("is_starter="), c("is_starter").cast("string"))), group=["segment"])
+    return per.unionByName(regression_metrics(scored.withColumn("segment", F.lit("segmented")), group=["segment"]))
 
 
-@query("cross_validation", "M12 M15")
+@query("cross_validation", "M12 M15", om.CROSS_VALIDATION)
 def cross_validation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5-fold CV of ridge on hash folds: train/test MAE, RMSE, R^2 per fold,
     their mean/std/min/max and the stability class (std of test R^2 < .05 / < .1)."""
     df = model_table(spark, sf_dir)
-    rows = None
-    for k in range(5):
-        tr, te = df.filter(c("fold") != k), df.filter(c("fold") == k)
-        model = est.fit(tr, est.ridge(FEATURES, T, 0.5))
-        for part, data in (("train", tr), ("test", te)):
-            m = _metrics(est.score(model, data, [*KEY, T]), "ridge").withColumns(
-                {"fold": F.lit(k), "part": F.lit(part)})
-            rows = m if rows is None else rows.unionByName(m)
-    long = rows.unpivot(["fold", "part"], ["mae", "rmse", "r2"], "metric", "value")
+    held = _held(df, "fold")
+    models = {str(k): (gram.ridge(gram.total(held, lambda key: key != (k,)), 0.5), FEATURES) for k in range(5) if any(key != (k,) for key in held)}
+    scored = gram.score_all(df, models, T, ["fold"], "left_out") if models else df.select(F.lit("").alias("left_out"), "fold", c(T).alias("actual"), c(T).alias("predicted"))
+    part = F.when(c("fold") == c("left_out").cast("int"), F.lit("test")).otherwise(F.lit("train"))
+    per_fold = regression_metrics(scored.withColumn("part", part), group=["left_out", "part"])
+    long = per_fold.unpivot(["left_out", "part"], ["mae", "rmse", "r2"], "metric", "value")
     summary = long.groupBy("part", "metric").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
@@ -136,20 +137,19 @@ def cross_validation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                               .when(c("std") < 0.1, F.lit("stable")).otherwise(F.lit("variable")))
 
 
-@query("learning_curve", "M13 M14")
+@query("learning_curve", "M13 M14", om.LEARNING_CURVE)
 def learning_curve_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge (alpha 1) test MAE for nested training shares .3-.8 against one fixed
     test split; percent improvement per step; the MAE projected at 500, 1000 and 2000
     rows from the mean improvement per 100 rows (NULL below the present size); and
-    whether the last step gains less than the first."""
+    whether the last step gains less than the first.  The shares are unions of the same hash buckets' moments."""
     df = model_table(spark, sf_dir)
-    test = df.filter(c("split") == "test")
-    rows = None
-    for share in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8):
-        tr = df.filter(nested_train_mask("bucket", share))
-        m = _metrics(est.fit_and_score(tr, test, est.ridge(FEATURES, T, 1.0), [*KEY, T]), "ridge").withColumns({
-            "train_share": F.lit(share), "train_rows": F.lit(tr.count())})
-        rows = m if rows is None else rows.unionByName(m)
+    held = _held(df, "bucket")
+    fits = {share: gram.total(held, lambda key: 20 <= key[0] < 20 + share * 80) for share in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)}
+    fits = {share: m for share, m in fits.items() if m is not None}
+    rows = _compared(df.filter(c("split") == "test"), {str(share): (gram.ridge(m, 1.0), FEATURES) for share, m in fits.items()}, "train_share")
+    sizes = F.create_map(*[F.lit(x) for share, m in fits.items() for x in (str(share), int(m.n))])
+    rows = rows.withColumns({"model": F.lit("ridge"), "train_rows": sizes[c("train_share")].cast("long"), "train_share": c("train_share").cast("double")})
     w = Window.orderBy("train_share")  # six rows
     last, size = F.lag("mae").over(w), F.lag("train_rows").over(w)
     gain = (last - c("mae")) / F.nullif(last, F.lit(0.0)) * 100
@@ -159,11 +159,12 @@ def learning_curve_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = out.agg(F.avg("improvement_pct_per_100").alias("rate"), F.max_by("mae", "train_share").alias("mae"),
                   F.min_by("mae_decrease", F.when(c("mae_decrease").isNotNull(), c("train_share"))).alias("first"),
                   F.max_by("mae_decrease", "train_share").alias("last")).first()
-    have = df.count()
+    have = sum(m.n for m in held.values())
     for goal in (500, 1000, 2000):
         value = now["mae"] * (1 - now["rate"] * (goal - have) / 100 / 100) if goal > have and now["rate"] is not None else None
         out = out.withColumn(f"projected_mae_at_{goal}", F.lit(value).cast("double"))
-    return out.withColumn("returns", F.lit("diminishing" if now["last"] < now["first"] else "stable"))
+    falling = None not in (now["last"], now["first"]) and now["last"] < now["first"]
+    return out.withColumn("returns", F.lit("diminishing" if falling else "stable"))
 
 
 @query("feature_importance", "M17")
@@ -180,10 +181,27 @@ def feature_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        "is_new int, new_in_top20 int")
 
 
-def _lasso_selected(train: DataFrame, alpha: float = 1.0, threshold: float = 0.01) -> list[str]:
-    model = est.fit(train, est.lasso(FEATURES, T, alpha))
-    coef = model.stages[-1].coefficients.toArray().tolist()
-    return [f for f, w in zip(FEATURES, coef) if abs(w) > threshold]
+def _by_coefficient(model: gram.Linear, m: gram.Moments, threshold: float = 0.0) -> list[str]:
+    """Features whose standardised coefficient exceeds ``threshold``, largest first."""
+    w = abs(gram.standardised(model, m)).tolist()
+    return [FEATURES[i] for i in sorted(range(len(FEATURES)), key=lambda i: (-w[i], FEATURES[i])) if w[i] > threshold]
+
+
+def _at(features: list[str]) -> list[int]:
+    """Places of features, and of the label, in the moments of all features."""
+    return [*[FEATURES.index(f) for f in features], len(FEATURES)]
+
+
+def _first_sizes(order: list[str]) -> list[int]:
+    return sorted({min(n, len(order)) for n in (*range(10, 51, 5), len(order))})
+
+
+def _sweep(test: DataFrame, m: gram.Moments, order: list[str]) -> DataFrame:
+    """Ridge on the first N of ``order`` for N = 10, 15 .. 50 and all; N = 0, if there are none, predicts the mean."""
+    models = {str(n): (gram.ridge(m.take(_at(order[:n])), 0.5), order[:n]) for n in _first_sizes(order)}
+    rows = _compared(test, models, "top_n").withColumns({"model": F.lit("ridge"), "top_n": c("top_n").cast("int")})
+    best = rows.agg(F.min_by("top_n", F.struct("mae", "top_n")).alias("b")).select("b").scalar()
+    return rows.withColumn("is_best", (c("top_n") == best).cast("int"))
 
 
 @query("lasso_selection", "M5 M18")
@@ -191,48 +209,37 @@ def lasso_selection_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lasso (alpha 1) keeps features with |coef| > .01 on standardised inputs; ridge refit on them."""
     df = model_table(spark, sf_dir)
     train, test = _train_test(df)
-    keep = _lasso_selected(train)
-    m = _metrics(est.fit_and_score(train, test, est.ridge(keep, T, 0.5), [*KEY, T]), "lasso_selected_ridge")
-    return m.withColumns({"n_selected": F.lit(len(keep)), "selected": F.lit(",".join(keep))})
+    m = gram.total(_held(train))
+    chosen = set(_by_coefficient(gram.lasso_path(m, [1.0])[0], m, 0.01))
+    kept = [f for f in FEATURES if f in chosen]
+    out = _compared(test, {"lasso_selected_ridge": (gram.ridge(m.take(_at(kept)), 0.5), kept)})
+    return out.withColumns({"n_selected": F.lit(len(kept)), "selected": F.lit(",".join(kept))})
 
 
-@query("alpha_sweep", "M11 T4")
+@query("alpha_sweep", "M11 T4", om.ALPHA_SWEEP)
 def alpha_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge test MAE for alpha in .1 .5 1 2 5 10; the best is flagged."""
+    """Ridge test MAE for alpha in .1 .5 1 2 5 10, all from the same moments and scored in one pass; the best is flagged."""
     df = model_table(spark, sf_dir)
     train, test = _train_test(df)
-    rows = None
-    for a in (0.1, 0.5, 1.0, 2.0, 5.0, 10.0):
-        m = _metrics(est.fit_and_score(train, test, est.ridge(FEATURES, T, a), [*KEY, T]), "ridge").withColumn(
-            "alpha", F.lit(a))
-        rows = m if rows is None else rows.unionByName(m)
-    best = rows.agg(F.min_by("alpha", F.struct("mae", "alpha")).alias("b")).select("b").scalar()
+    m = gram.total(_held(train))
+    rows = _compared(test, {str(a): (gram.ridge(m, a), FEATURES) for a in (0.1, 0.5, 1.0, 2.0, 5.0, 10.0)}, "alpha")
+    rows = rows.withColumns({"model": F.lit("ridge"), "alpha": c("alpha").cast("double")}).checkpoint(eager=True)
+    best = best_by(rows, "mae", tie=["alpha"]).select("alpha").scalar()
     return rows.withColumn("is_best", (c("alpha") == best).cast("int"))
 
 
-def _lasso_by_cv(train: DataFrame):
-    """(scaler, alphas, mean squared errors, model of the best alpha): features
-    are assembled and scaled once, and only the regressor is cross-validated."""
-    *steps, lr = est.lasso(FEATURES, T, 1.0)(train).getStages()
-    scaler = Pipeline(stages=steps).fit(train)
-    scaled = scaler.transform(train).select("features", "fold", T).checkpoint(eager=True)
-    alphas = [10 ** (-3 + 5 * i / 49) for i in range(50)]
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, alphas).build(),
-                        evaluator=RegressionEvaluator(labelCol=T, predictionCol="predicted", metricName="mse"),
-                        numFolds=5, seed=42, parallelism=4, foldCol="fold").fit(scaled)
-    return scaler, alphas, list(cv.avgMetrics), cv.bestModel
+LASSO_ALPHAS = [10 ** (-3 + 5 * i / 49) for i in range(50)]
 
 
 @query("lasso_cv", "M6")
 def lasso_cv_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lasso alpha of least squared error by 5-fold CV over 50 log-spaced values (1e-3..1e2)."""
+    """Lasso alpha of least squared error by 5-fold CV over 50 log-spaced values (1e-3..1e2), from the folds' moments."""
     df = model_table(spark, sf_dir)
     train, test = _train_test(df)
-    scaler, alphas, errors, model = _lasso_by_cv(train)
-    best = min(range(len(alphas)), key=errors.__getitem__)
-    m = _metrics(model.transform(scaler.transform(test)).select(*KEY, T, "predicted"), "lasso_cv")
-    return m.withColumns({"best_alpha": F.lit(alphas[best]), "cv_mse": F.lit(float(errors[best])),
-                          "n_nonzero": F.lit(int(model.coefficients.numNonzeros()))})
+    errors, model, best = gram.lasso_cv(_held(train, "fold"), LASSO_ALPHAS)
+    m = _compared(test, {"lasso_cv": (model, FEATURES)})
+    return m.withColumns({"best_alpha": F.lit(LASSO_ALPHAS[best]), "cv_mse": F.lit(errors[best]),
+                          "n_nonzero": F.lit(int((model.coef != 0).sum()))})
 
 
 @query("topn_feature_sweep", "M19")
@@ -241,40 +248,35 @@ def topn_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     N = 10, 15 .. 50 and all that are not zero; best N flagged.  If all are zero, N = 0 predicts the training mean."""
     df = model_table(spark, sf_dir)
     train, test = _train_test(df)
-    coef = _lasso_by_cv(train)[3].coefficients.toArray().tolist()
-    order = [f for w, f in sorted(zip([-abs(w) for w in coef], FEATURES)) if w]
-    if not order:
-        mean = train.agg(F.avg(T).alias("m")).select("m").scalar()
-        return _metrics(test.select(*KEY, T).withColumn("predicted", mean), "ridge").withColumns({"top_n": F.lit(0), "is_best": F.lit(1)})
-    rows = None
-    for n in sorted({min(n, len(order)) for n in (*range(10, 51, 5), len(order))} - {0}):
-        m = _metrics(est.fit_and_score(train, test, est.ridge(order[:n], T, 0.5), [*KEY, T]), "ridge").withColumn(
-            "top_n", F.lit(n))
-        rows = m if rows is None else rows.unionByName(m)
-    best = rows.agg(F.min_by("top_n", F.struct("mae", "top_n")).alias("b")).select("b").scalar()
-    return rows.withColumn("is_best", (c("top_n") == best).cast("int"))
+    held = _held(train, "fold")
+    m = gram.total(held)
+    return _sweep(test, m, _by_coefficient(gram.lasso_cv(held, LASSO_ALPHAS)[1], m))
 
 
-# The selective momentum features, and the last seasons that the base features are compared over.
-SELECTIVE = """
-k9_3yr_avg swstr_3yr_avg career_high_k9 years_experience delta_k9 is_improving has_hit_200k momentum_score is_breakout
-coming_off_injury
-""".split()
+@query("topn_path_sweep", "M19")
+def topn_path_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sweep over the lasso of the least alpha (1e-3), which keeps enough features for all sizes."""
+    df = model_table(spark, sf_dir)
+    train, test = _train_test(df)
+    m = gram.total(_held(train))
+    return _sweep(test, m, _by_coefficient(gram.lasso_path(m, LASSO_ALPHAS[:1])[0], m))
+
+
+#: The base features are compared over so many last seasons.
 LAST_SEASONS = (5, 7, 11)
 
 
 def _seasons_comparison(panel: DataFrame, df: DataFrame) -> DataFrame:
     """Ridge with the base features on the last 5, 7 and 11 seasons of ``panel``, each fitted on and scored over
-    its own seasons' split of the model table ``df``; change vs the fewest."""
-    # a literal: as a scalar subquery every fit and score would hold the panel's plan again
+    its own seasons' split of the model table ``df``; change vs the fewest.  The training sets are unions of the seasons' moments."""
     latest = panel.agg(F.max("season")).first()[0] or 0
-    rows = None
-    for n in LAST_SEASONS:
-        train, test = _train_test(df.filter(c("season") > latest - n))
-        m = _metrics(est.fit_and_score(train, test, est.ridge(FEATURES, T, 0.5), [*KEY, T]), f"base, last {n} seasons").withColumn(
-            "n_features", F.lit(len(FEATURES)))
-        rows = m if rows is None else rows.unionByName(m)
-    return _with_change(rows, f"base, last {LAST_SEASONS[0]} seasons")
+    train, test = _train_test(df)
+    held = _held(train, "season")
+    models = {n: (gram.ridge(m, 0.5), FEATURES) for n in LAST_SEASONS if (m := gram.total(held, lambda key: key[0] > latest - n)) is not None}
+    scored = gram.score_all(test, {str(n): model for n, model in models.items()}, T, ["season"], "last")
+    own = scored.where(c("season") > latest - c("last").cast("int"))
+    rows = regression_metrics(own.withColumn("model", F.concat(F.lit("base, last "), "last", F.lit(" seasons"))), group=["model"])
+    return _with_change(rows.withColumn("n_features", F.lit(len(FEATURES))), f"base, last {LAST_SEASONS[0]} seasons")
 
 
 @query("feature_set_comparison", "M21 J8")
@@ -295,11 +297,10 @@ def feature_sets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_feats = list(dict.fromkeys(x for v in sets.values() for x in v))
     df = model_table(spark, sf_dir, extra=enriched, features=all_feats)
     train, test = _train_test(df)
-    rows = None
-    for name, feats in sets.items():
-        m = _metrics(est.fit_and_score(train, test, est.ridge(feats, T, 0.5), [*KEY, T]), name).withColumn(
-            "n_features", F.lit(len(feats)))
-        rows = m if rows is None else rows.unionByName(m)
+    m = gram.total(_held(train, features=all_feats))
+    models = {name: (gram.ridge(m.take([*[all_feats.index(f) for f in feats], len(all_feats)]), 0.5), feats) for name, feats in sets.items()}
+    widths = F.create_map(*[F.lit(x) for name, feats in sets.items() for x in (name, len(feats))])
+    rows = _compared(test, models).withColumn("n_features", widths[c("model")]).checkpoint(eager=True)
     return _with_change(rows, "base").unionByName(_seasons_comparison(panel, model_table(spark, sf_dir, extra=panel)))
 
 
@@ -321,7 +322,7 @@ def main_projection_rf_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(scored, SPEC)
 
 
-@query("model_persistence", "S7 M22")
+@query("model_persistence", "S7 M22", om.PERSISTENCE)
 def persistence_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save the fitted pipeline (scaler + model + feature order) to the checkpoint folder,
     load it back and check the reloaded model scores identically."""

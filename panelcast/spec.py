@@ -138,6 +138,16 @@ MOMENTUM_FEATURES: list[str] = [
     "k9_rolling_std", "is_volatile", "k9_3yr_avg", "swstr_3yr_avg", "momentum_score",
 ]
 
+# The features that count as newly engineered, and the selective momentum features.
+ENGINEERED: list[str] = [
+    "is_ace", "is_high_k_pitcher", "is_workhorse", "log_total_strikeouts", "is_starter", "is_reliever", "k9_x_starter",
+    "swstr_x_starter", "ip_x_starter", "swstr_x_ip", "k9_x_era", "age_x_ip", "stuff_x_command", "workload_stress",
+]
+SELECTIVE: list[str] = [
+    "k9_3yr_avg", "swstr_3yr_avg", "career_high_k9", "years_experience", "delta_k9", "is_improving", "has_hit_200k",
+    "momentum_score", "is_breakout", "coming_off_injury",
+]
+
 AVAILABILITY_FEATURES: list[str] = [
     "missed_previous_season", "consecutive_active_years", "years_since_injury",
     "career_availability_rate", "ip_volatility", "coming_back_from_injury", "injury_risk_score",
