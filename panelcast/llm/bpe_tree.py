@@ -9,7 +9,8 @@ the pair's own bytes, so a window is settled once the pairs at both its edges
 are.  Decoding concatenates token bytes up the same kind of tree.
 
 Null text: encoded as the empty text (no ids, empty bytes).  Ids beyond the
-vocabulary raise ``KeyError``.  Null id lists decode to empty bytes.  Extra
+vocabulary raise ``KeyError``.  Null id lists decode to empty bytes.  Very long texts
+are encoded whole, piece by piece.  Repeated rows are rows of their own; an empty table gives no rows.  Extra
 columns pass through; the output columns are named by parameters.
 """
 
@@ -18,7 +19,9 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -26,8 +29,9 @@ from pyspark.sql import types as T
 from panelcast.llm.common import ROWS
 from panelcast.session import ship_package
 
-LEAF = 6             # bytes that are merged directly
-CACHED = 400_000     # entries of each of a worker's memories
+LEAF = 16            # bytes that are merged directly
+FAN = 64             # tokens of a leaf of the decoding tree
+CACHED = 150_000     # entries of each of a worker's memories
 _NONE = 1 << 40
 _RUN = re.compile(r"\s\s")
 
@@ -49,8 +53,8 @@ class TreeBPE:
         self.findall = regex.compile(white).findall
         self._leaves: dict[bytes, list[int]] = {}
         self._windows: dict[tuple[int, ...], list[int]] = {}
-        self._new: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     # -- encoding ---------------------------------------------------------
     def merge(self, data: bytes) -> list[int]:
@@ -134,35 +138,39 @@ class TreeBPE:
             return got
         return self.join(self.encode_bytes(data[:n // 2]), self.encode_bytes(data[n // 2:]))
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a stretch that begins and ends at piece boundaries."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a stretch that begins and ends at piece boundaries, as 32-bit integers."""
         got = self._old.get(chunk)
         if got is None:
-            got = tuple([i for p in self.findall(chunk) for i in self.encode_bytes(p.encode("utf-8", "replace"))])
+            got = array("i", [i for p in self.findall(chunk) for i in self.encode_bytes(p.encode("utf-8", "replace"))]).tobytes()
         if len(chunk) < 64:
             if len(self._new) >= CACHED:
                 self._old, self._new = self._new, {}
             self._new[chunk] = got
         return got
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text.  A lone blank between other characters always opens
+    def encode_flat(self, text: str | None) -> bytes:
+        """Ids of a text as 32-bit integers.  A lone blank between other characters always opens
         a new piece, so texts without runs of white space are looked up in
         chunks that begin at their blanks."""
         if not text:
-            return []
+            return b""
+        chunk = self._chunk
         if text[0].isspace() or text[-1].isspace() or _RUN.search(text):
-            return [i for p in self.findall(text) for i in (self._new.get(p) or self._chunk(p))]
+            return b"".join([self._new.get(p) or chunk(p) for p in self.findall(text)])
         first, *rest = text.split(" ")
-        out = list(self._chunk(first))
+        out = [chunk(first)]
         for word in rest:
-            chunk = " " + word
-            out += self._new.get(chunk) or self._chunk(chunk)
-        return out
+            own = " " + word
+            out.append(self._new.get(own) or chunk(own))     # the memory changes when it is full
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.encode_flat(text)).tolist()
 
     # -- decoding ---------------------------------------------------------
-    def decode(self, ids: list[int] | None, fan: int = 4096) -> bytes:
-        """Bytes of ids: blocks of ``fan`` tokens, concatenated pairwise."""
+    def decode(self, ids: list[int] | None, fan: int = FAN) -> bytes:
+        """Bytes of ids: blocks of ``fan`` tokens, concatenated pairwise up the tree."""
         if not ids:
             return b""
         level = [b"".join(map(self.bytes_of.__getitem__, ids[i:i + fan])) for i in range(0, len(ids), fan)]
@@ -208,3 +216,27 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out`` (binary), the bytes of ``ids``."""
     return _with_column(df, ids, out, T.BinaryType(), pa.binary(), lambda: tree_bpe(ranks_path, pattern).decode)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` without its text, with ``ids`` and the bytes ``out`` that they decode to, in one
+    pass: the ids of a batch are one flat buffer from the encoder to Spark."""
+    ship_package(df.sparkSession)
+    element = pa.list_(pa.field("element", pa.int32(), False))
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (text, ids, out)] + [
+        T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(out, T.BinaryType())])
+    at, keep = df.columns.index(text), [i for i, c in enumerate(df.columns) if c not in (text, ids, out)]
+
+    def run(batches):
+        tree = tree_bpe(ranks_path, pattern)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                flat = [tree.encode_flat(x) for x in part.column(at).to_pylist()]
+                offsets = np.cumsum([0, *[len(f) // 4 for f in flat]], dtype=np.int32)
+                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), np.int32)), type=element)
+                back = pa.array([tree.decode(array("i", f).tolist()) for f in flat], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + [made, back],
+                                                 names=[batch.schema.names[i] for i in keep] + [ids, out])
+
+    return df.mapInArrow(run, schema)

@@ -30,9 +30,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm.common import table
 
     path, pattern = public.path("byte_bpe_50k.tiktoken"), public.PATTERN
-    ids = bpe_tree.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern).drop("text")
     digits = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    narrow = bpe_tree.decode(ids, path, pattern)
+    narrow = bpe_tree.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern)
     return narrow.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                          F.sha2(digits.cast("binary"), 256).alias("ids_sha256"),
                          F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -117,3 +117,20 @@ def test_added_tokens_in_texts(spark):
     for more in ({}, {"ranks_path": RANKS, "pattern": public.PATTERN}):
         got = {r["doc_id"]: r["ids"] for r in packing.pieces(docs, JSON, **more).collect()}
         assert [got[i] for i in range(len(texts))] == [[*ids, 0] for ids in want]
+
+
+def test_query_digests_equal_tiktoken(spark, tmp_path, edge_rows):
+    import hashlib
+
+    import public_tokenizers as public
+    import tiktoken
+    from panelcast.llm import bpe_tree
+    from panelcast.llm.queries import QUERIES
+    path = public.path("byte_bpe_50k.tiktoken")
+    encoder = tiktoken.Encoding("t", pat_str=public.PATTERN, mergeable_ranks=bpe_tree.load_ranks(path), special_tokens={})
+    rows = [(i, r[1]) for i, r in enumerate(edge_rows)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r)[1:4] for r in QUERIES["op1_byte_bpe"](spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        ids = encoder.encode_ordinary(text or "")
+        assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
