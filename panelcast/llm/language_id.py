@@ -12,7 +12,8 @@ rejected if its cross-entropy is above the language's mean by ``slack`` bits
 plus ``z`` standard deviations of one word's, shrunk by the root of its words.
 
 The models are fitted on a bounded sample of labelled rows
-(``rows_per_lang``); what reaches the driver is the sample's distinct words.  Every text is scored
+(``rows_per_lang``); what reaches the driver is the number of rows a language, the sample's distinct
+words and the held rows' entropies.  Every text is scored
 whole.  Null texts and texts without a letter: language ``und``, score 0,
 cross-entropy null, rejected.  Equal scores: the first language in sort order.  Without a
 labelled row every text is ``und``.  Rows with a null language are no sample
@@ -21,6 +22,7 @@ rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 import numpy as np
@@ -212,24 +214,40 @@ def train(counts: dict[str, dict[str, int]], held: dict[str, list[str]] | None =
         by = np.argsort(keys, kind="stable")
         return keys[by], np.log2(values[by])
 
-    model = Model(langs, *in_order(grams, probs), *in_order(contexts, backs), np.log2(unknown), np.zeros(k), np.zeros(k), order)
-    mean, spread = np.full(k, np.inf), np.zeros(k)
-    for j, lang in enumerate(langs):
-        bits, n, words = model.entropies((held or {}).get(lang, []))
-        if n.sum():
-            ok = n > 0
-            mean[j] = np.average(bits[ok, j], weights=n[ok])
-            spread[j] = np.sqrt(np.mean((bits[ok, j] - mean[j]) ** 2 * words[ok]))
-    import dataclasses
+    model = Model(langs, *in_order(grams, probs), *in_order(contexts, backs), np.log2(unknown), np.full(k, np.inf), np.zeros(k), order)
+    return calibrated(model, [row for lang, texts in (held or {}).items() for row in own_entropies(model, [lang] * len(texts), texts)])
+
+
+def own_entropies(model: Model, names: list[str], texts: list[str | None]) -> list[tuple[str, float, int, int]]:
+    """(language, bits a symbol under its own model, symbols, words) of texts with symbols."""
+    bits, n, words = model.entropies(texts)
+    at = {lang: j for j, lang in enumerate(model.langs)}
+    return [(name, float(bits[i, at[name]]), int(n[i]), int(words[i])) for i, name in enumerate(names) if name in at and n[i]]
+
+
+def calibrated(model: Model, rows: list[tuple[str, float, int, int]]) -> Model:
+    """``model`` with each language's mean cross-entropy, and its spread, over ``own_entropies`` rows."""
+    mean, spread = np.full(len(model.langs), np.inf), np.zeros(len(model.langs))
+    for j, lang in enumerate(model.langs):
+        own = np.array(sorted(r[1:] for r in rows if r[0] == lang), float)
+        if len(own):
+            mean[j] = np.average(own[:, 0], weights=own[:, 1])
+            spread[j] = np.sqrt(np.mean((own[:, 0] - mean[j]) ** 2 * own[:, 2]))
     return dataclasses.replace(model, mean=mean, spread=spread)
 
 
 def fit(docs: DataFrame, ok: F.Column, lang: str = "lang", rows_per_lang: int = 600, order: int = ORDER) -> Model:
     """Fit on at most ``rows_per_lang`` rows of each language in ``docs``
     (doc_id, text, lang) that ``ok`` admits, chosen by the hash of their id;
-    every fifth of them calibrates."""
+    every fifth of them calibrates, scored in tasks."""
+    admitted = docs.where(ok & F.col(lang).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(lang).alias("lang"))
+    # a hash cut of four times the rows wanted comes first, so that a large language sends few rows to its numbering
+    sizes = {r[0]: r[1] for r in admitted.groupBy("lang").count().collect()}
+    if not sizes:
+        return train({}, None, order)
+    cuts = F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1.0, 4 * rows_per_lang / n))])
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (docs.where(ok & F.col(lang).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(lang).alias("lang"))
+    ids = (admitted.where(F.pmod(F.xxhash64(F.lit("cut"), "doc_id"), F.lit(1 << 20)) < cuts[F.col("lang")] * (1 << 20))
            .withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= rows_per_lang)
            .groupBy("doc_id", "lang").agg(F.min("at").alias("at")))
     # languages x rows_per_lang ids
@@ -251,10 +269,11 @@ def fit(docs: DataFrame, ok: F.Column, lang: str = "lang", rows_per_lang: int =
     for batch in got.toArrow().to_batches():      # much smaller than rows of Python objects
         for name, word, times in zip(*(c.to_pylist() for c in batch.columns)):
             counts.setdefault(name, {})[word] = times
-    held: dict[str, list[str]] = {}
-    for name, text in chosen.where("at % 5 = 0").select("lang", "text").collect():
-        held.setdefault(name, []).append(text)
-    return train(counts, held, order)
+    model = train(counts, None, order)
+    shared = docs.sparkSession.sparkContext.broadcast(model)    # bounded by the sample, whatever the data
+    held = map_rows(chosen.where("at % 5 = 0").select("lang", "text"), lambda cols: own_entropies(shared.value, *cols),
+                    "lang string, bits double, symbols long, words long")
+    return calibrated(model, [tuple(r) for r in held.collect()])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
