@@ -16,7 +16,8 @@ exactly 0.75 share no band with a probability of 6e-6.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered.  Fewer than five words are
 one shingle; null, empty and blank texts have the empty set and no links.
-Rows that share an id are one node; a row with a null id takes part in no link
+Rows that share an id are rows of their own, each in the component of its own
+text; ``keep`` never drops one for what another says.  A row with a null id takes part in no link
 (component null, kept).  Other columns are ignored.  An empty table gives no rows.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import by_key, map_rows, mix64, words, written
 from panelcast.llm.components import components
-from panelcast.llm.superkmer import word_hashes
+from panelcast.llm.superkmer import text_key, word_hashes
 
 WORDS, SHARE, MINIMA, ROWS, BITS, BLOCK = 5, 75, 128, 4, 4, 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,10 +99,10 @@ def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, signature, bands); c1 and c2 are a digest
-    of the set."""
+    """(doc_id, t1, t2, n_shingles, c1, c2, signature, bands); t1 and t2 are hashes of
+    the text, c1 and c2 a digest of the set."""
     def run(cols):
-        for doc_id, t in zip(*cols):
+        for doc_id, t, t1, t2 in zip(*cols):
             own = shingles(t)
             d = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
             least = minima(own)
@@ -110,10 +111,10 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                 band = np.arange(len(keys), dtype=np.uint64)
                 for i in range(ROWS):
                     band = mix64(band * _BASE + keys[:, i])
-            yield (doc_id, len(own), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True),
+            yield (doc_id, t1, t2, len(own), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True),
                    pack(least), band.view(np.int64))
 
-    return map_rows(docs.select("doc_id", text), run, "doc_id long, n_shingles long, c1 long, c2 long, signature binary, bands array<long>")
+    return map_rows(docs.select("doc_id", text, *text_key(text)), run, "doc_id long, t1 long, t2 long, n_shingles long, c1 long, c2 long, signature binary, bands array<long>")
 
 
 def _apart(name: str):
@@ -181,6 +182,11 @@ def _block(share: int, floor: float):
 def near_duplicates(docs: DataFrame, share: int = SHARE, text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; links are pairs
     with 100 * intersection >= ``share`` * union."""
+    return _found(docs, share, text, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _found(docs: DataFrame, share: int, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """``near_duplicates`` with the rows' t1, t2, c1, c2 and node."""
     floor = least_estimate(share / 100)
     docs = docs.select("doc_id", F.col(text).alias("text"))
     rows = written(signatures(docs), "signatures")
@@ -245,19 +251,26 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, text: str = "text", blo
     more = written(by_key(left.unionByName(right), ["key", "i", "j"], _block(share, floor), "a long, b long"), "links")
     final = components(links.unionByName(more))
 
-    named = (rows.select("doc_id", "n_shingles", "c1", "c2")
+    named = (rows.select("doc_id", "n_shingles", "t1", "t2", "c1", "c2")
              .join(classes.select("c1", "c2", "node").hint("merge"), ["c1", "c2"], "left")
              .join(final.hint("merge"), "node", "left"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return named.select("doc_id", "n_shingles", "t1", "t2", "c1", "c2", "node", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """One row of ``docs`` per component, that of the smallest doc_id; of rows
-    that share it one.  Rows with null ids stay."""
-    found = near_duplicates(docs, share)
-    stays = written(found.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    one = Window.partitionBy("doc_id").orderBy("doc_id")
-    chosen = (docs.join(stays.hint("merge"), "doc_id").withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row"))
+    """One row of ``docs`` per component, that of the smallest doc_id.  Where that id
+    has several texts, the row whose set belongs to the component stays, and each
+    unlike one is judged by itself: sets of one smallest id all stay.  Equal rows
+    count once.  Rows with null ids stay."""
+    found = written(_found(docs, share).where("doc_id is not null").select("doc_id", "t1", "t2", "c1", "c2", "node", "kept"), "found")
+    shared = found.where("node is not null").select("node", "c1", "c2").distinct().groupBy("node").count().where("count > 1").select(F.col("node").alias("doc_id"))
+    doubtful = found.join(shared.hint("merge"), "doc_id", "left_semi").where("node = doc_id")
+    stays = (found.where("kept").unionByName(doubtful).groupBy("doc_id", "c1", "c2")
+             .agg(F.min(F.struct("t1", "t2")).alias("t")).select("doc_id", "t.t1", "t.t2"))
+    own = docs.withColumns(dict(zip(("__t1", "__t2"), text_key("text"))))
+    one = Window.partitionBy("doc_id", "__t1", "__t2").orderBy("doc_id")
+    chosen = (own.join(stays.select("doc_id", F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).hint("merge"), ["doc_id", "__t1", "__t2"])
+              .withColumn("__row", F.row_number().over(one)).where("__row = 1"))
     return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))

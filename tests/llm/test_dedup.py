@@ -126,3 +126,16 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3), (50, 49)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {49: 49, 50: 49}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    from panelcast.llm import minhash
+    a, u, v = (" ".join(f"{p}{i}" for i in range(60)) for p in "auv")
+    rows = [(3, a), (5, a), (5, u), (7, u), (9, v), (9, v), (2, v + " more"), (11, u.upper()), (12, ""), (12, None), (None, a)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], kind)
+    got = sorted(((r["doc_id"], r["text"]) for r in minhash.keep(docs).collect()), key=str)
+    empty = [r for r in got if r[0] == 12]      # the empty set of an id, once
+    assert len(empty) == 1 and sorted(set(got) - set(empty), key=str) == sorted([(3, a), (5, u), (2, v + " more"), (None, a)], key=str)
+    unlike = spark.createDataFrame([(5, a, "en", "s", 1), (5, u, "en", "s", 1), (8, u, "en", "s", 1)], kind)
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.keep(unlike).collect()) == sorted([(5, a), (5, u)])
