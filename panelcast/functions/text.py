@@ -16,26 +16,26 @@ from panelcast.functions.exprs import col
 def _accent_translation() -> tuple[str, str]:
     """(accented, plain) character strings for ``F.translate``.
 
-    Built by rule from Unicode: every Latin letter in U+00C0..U+024F and
-    U+1E00..U+1EFF whose canonical decomposition is a base letter followed
-    only by combining marks maps to that base letter.  This is what NFD +
-    dropping category ``Mn`` does, expressed as a JVM-side translate.
+    Built by rule from Unicode: every character, of any script, whose canonical
+    decomposition without its combining marks (category ``Mn``) is one other character maps
+    to that.  This is what NFD + dropping ``Mn`` does, expressed as a JVM-side translate;
+    Hangul syllables and the few letters that decompose into several (as some Tamil
+    vowels, with spacing marks) stay composed.
     """
     src, dst = [], []
-    for cp in list(range(0x00C0, 0x0250)) + list(range(0x1E00, 0x1F00)):
+    for cp in range(0x00C0, 0x110000):
         ch = chr(cp)
-        nfd = unicodedata.normalize("NFD", ch)
-        if len(nfd) < 2:
+        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF or not unicodedata.decomposition(ch):
             continue
-        base, marks = nfd[0], nfd[1:]
-        if all(unicodedata.category(m) == "Mn" for m in marks) and unicodedata.category(base) != "Mn":
+        plain = "".join(x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
+        if len(plain) == 1 and plain != ch:
             src.append(ch)
-            dst.append(base)
+            dst.append(plain)
     return "".join(src), "".join(dst)
 
 
 def strip_accents(c: str | Column) -> Column:
-    """Text without accents: composed Latin letters become their base letters, and
+    """Text without accents: composed letters become their base letters, and
     combining marks that stand alone, as in decomposed text, go."""
     src, dst = _accent_translation()
     return F.regexp_replace(F.translate(col(c), src, dst), r"\p{Mn}", "")

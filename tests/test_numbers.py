@@ -90,3 +90,30 @@ def test_entry(spark):
     rows = entry.entry(spark)
     assert rows.count() == entry.queries()["main_projection"](spark, SF).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_names_of_any_script_lose_their_marks(spark):
+    import unicodedata
+
+    from panelcast.functions.text import strip_accents
+    blocks = [(0xC0, 0x250), (0x370, 0x530), (0x590, 0x700), (0x900, 0x980), (0x1E00, 0x2000), (0x3040, 0x3100)]
+    texts = ["".join(chr(c) for c in range(lo, hi) if unicodedata.category(chr(c))[0] == "L") for lo, hi in blocks] + ["Ά\u0301й e\u0301 Łódź"]
+    want = ["".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn") for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r["s"] for r in df.select("i", strip_accents("t").alias("s")).orderBy("i").collect()] == want
+
+
+def test_metrics_keep_their_digits_and_guard_empty_tables(spark):
+    from panelcast.operators.evaluate import deployment_summary, directional_accuracy, regression_metrics
+    from panelcast.operators.profile import quadratic_trend
+    rows = [(1e8 + i, 1e8 + i + (0.5 if i % 2 else -0.5)) for i in range(10)]
+    got = regression_metrics(spark.createDataFrame(rows, "actual double, predicted double")).first()
+    assert abs(got["r2"] - (1 - 0.25 / 8.25)) < 1e-9
+    same = regression_metrics(spark.createDataFrame([(5.0, 4.0)] * 3, "actual double, predicted double")).first()
+    assert same["r2"] is None and same["mae"] == 1.0
+    one_age = quadratic_trend(spark.createDataFrame([(30, 1.0), (30, 2.0)], "age int, y double"), "age", "y").first()
+    assert tuple(one_age) == (None, None, None)
+    none = spark.createDataFrame([], "actual double, predicted double, prior double")
+    assert directional_accuracy(none, "prior").first()["pct_correct"] is None
+    zero = regression_metrics(spark.createDataFrame([(1.0, 1.0, 0.0), (-1.0, -1.0, 0.0)], "actual double, predicted double, prior double"), prior="prior")
+    assert deployment_summary(zero).first()["mae_pct_of_mean"] is None
