@@ -24,7 +24,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.session import ensure_checkpoint_dir
@@ -141,3 +141,46 @@ def column_medians(df: DataFrame, columns: Sequence[str], accuracy: int = DEFAUL
     """Exact medians of many columns in the same scans, as literal Columns."""
     res = exact_quantiles(df, {x: x for x in columns}, [0.5], accuracy)
     return {x: F.lit(res[(x, 0.5)]).cast("double") for x in columns}
+
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: Column | str, probs: Mapping[str, float],
+                      partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value`` in every group of ``by``, a column for
+    each of ``probs`` (name -> q).  NULL and NaN values are ignored, a NULL key is a group.
+
+    Equal values of a group are counted first, so that ties shrink before the shuffle.  The counts
+    are range-partitioned by (group, value): a large group lies in many pieces, and many small
+    ones share a partition.  A group's piece sizes give its length and each piece's offset; only
+    the pieces that hold a wanted rank are numbered.  Nothing reaches the driver.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    v = (c(f"`{value}`") if isinstance(value, str) else value).cast("double")
+    group = F.struct(*[c(f"`{x}`") for x in by]).alias("_g")        # a struct, so that NULL keys are equal
+    counted = (df.select(group, v.alias("_v")).where(c("_v").isNotNull() & ~F.isnan("_v"))
+               .groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (counted.repartitionByRange(n, "_g", "_v").withColumn("_part", F.spark_partition_id())
+              .checkpoint(eager=True))
+    # at most one row a group and one a partition more
+    pieces = ranged.groupBy("_g", "_part").agg(F.sum("_n").alias("_size"))
+    whole = Window.partitionBy("_g")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumns({"_total": F.sum("_size").over(whole),
+                                 "_offset": F.coalesce(F.sum("_size").over(before), F.lit(0))})
+    at = {name: F.lit(float(q)) * (c("_total") - 1) for name, q in probs.items()}
+    ranks = F.array(*[r for x in at.values() for r in (F.floor(x), F.ceil(x))])
+    held = pieces.where(F.exists(ranks, lambda r: (r >= c("_offset")) & (r < c("_offset") + c("_size"))))
+    within = Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = ranged.join(held, ["_g", "_part"]).withColumn("_upto", c("_offset") + F.sum("_n").over(within))
+
+    def at_rank(r: Column) -> Column:
+        return F.max(F.when((r < c("_upto")) & (r >= c("_upto") - c("_n")), c("_v")))
+
+    found = numbered.groupBy("_g", "_total").agg(
+        *[at_rank(f(x)).alias(f"_{side}{i}") for i, x in enumerate(at.values())
+          for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    return found.select(*[c("_g").getField(x).alias(x) for x in by],
+                        *[F.when(c(f"_lo{i}") == c(f"_hi{i}"), c(f"_lo{i}"))
+                          .otherwise(c(f"_lo{i}") + (x - F.floor(x)) * (c(f"_hi{i}") - c(f"_lo{i}"))).alias(name)
+                          for i, (name, x) in enumerate(at.items())])

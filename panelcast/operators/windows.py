@@ -161,12 +161,7 @@ def availability_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> Data
 # -- W20 --------------------------------------------------------------------
 
 def latest_row(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Latest row per entity as one aggregation (no sort): the max of a struct
-    led by (period, tie...) keeps the whole row.  Partial aggregation runs
-    map-side, so each task ships one row per entity, however many periods the
-    entity has."""
-    lead_cols = [spec.period, *[t for t in spec.tie if t != spec.entity]]
-    rest = [x for x in df.columns if x not in lead_cols and x != spec.entity]
-    packed = F.struct(*[c(f"`{x}`") for x in lead_cols + rest]).alias("_row")
-    agg = df.groupBy(spec.entity).agg(F.max(packed).alias("_row"))
-    return agg.select(spec.entity, *[c("_row").getField(x).alias(x) for x in lead_cols + rest]).select(*df.columns)
+    """Latest row per entity: the row that no other follows in the career window, so that
+    a panel whose target was derived is neither shuffled nor sorted again."""
+    follows = F.lead(F.lit(1), 1).over(career_window(spec))
+    return df.withColumn("_follows", follows).filter(c("_follows").isNull()).drop("_follows")

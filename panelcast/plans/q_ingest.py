@@ -16,9 +16,10 @@ from panelcast.plans.panel import prepare_panel, season_panel
 from panelcast.plans.registry import query
 from panelcast.session import ensure_checkpoint_dir
 from panelcast.sources.contract import ingest, require
+from panelcast.sources.refresh import refresh_panel
 from panelcast.sources.sinks import write_panel_outputs, write_table
 from panelcast.sources.standin import raw_season_table
-from panelcast.sources.tables import read_csv, union_periods
+from panelcast.sources.tables import read_csv, read_partitioned, union_periods
 from panelcast.spec import DEFAULT_SPEC
 
 c = F.col
@@ -85,3 +86,14 @@ def first_entity_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = season_panel(spark, sf_dir)
     first = panel.agg(F.min(F.struct("player_id", -c("season"))).alias("k")).first()["k"]
     return require_rows(lookup(panel, first[0], -first[1], SPEC), "seasons").select(*KEY, "total_strikeouts")
+
+
+@query("panel_refresh", "S2 S3 S4 W1", ob.panel_query("""
+SELECT player_id, season, total_strikeouts, k_per_9, workload_stress, next_season_strikeouts FROM panel"""))
+def panel_refresh_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel landed without its latest season, then refreshed with it: the same as built whole."""
+    raw = raw_season_table(spark, sf_dir).checkpoint(eager=True)
+    latest, path = raw.agg(F.max("Season")).first()[0], f"{_folder(spark, 'refresh')}/panel"
+    write_table(prepare_panel(raw.where(c("Season") < latest), SPEC), path, partition_by=[SPEC.period])
+    refresh_panel(path, prepare_panel(raw.where(c("Season") == latest), SPEC), SPEC)
+    return read_partitioned(spark, path, SPEC.period).select(*KEY, "total_strikeouts", "k_per_9", "workload_stress", SPEC.target)

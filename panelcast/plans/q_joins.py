@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.features import pitch_mix_features
+from panelcast.operators.bitmaps import career_shape
 from panelcast.operators.filters import with_target
 from panelcast.operators.impute import fill_constants, fill_counts, median_impute, null_profile, typed_impute
 from panelcast.operators.joins import absent_entities, left_join_normalized, match_rate, missing_periods
 from panelcast.operators.profile import rows_per_period
+from panelcast.operators.quantiles import grouped_quantiles
 from panelcast.plans import oracle_base as ob
 from panelcast.plans.panel import season_panel
 from panelcast.plans.registry import query
+from panelcast.session import ensure_checkpoint_dir
 from panelcast.sources.contract import rename_present
 from panelcast.sources.standin import game_log, pitch_share_table
 from panelcast.spec import (
@@ -33,8 +36,12 @@ def pitch_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pitch_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = season_panel(spark, sf_dir).select(*KEY, "full_name")
-    return left_join_normalized(panel, pitch_side(spark, sf_dir), name="full_name", period="season")
+    # the panel and the vendor table are built once each: the sketch of the names reads the
+    # checkpointed panel, and medians and fills the checkpointed join
+    ensure_checkpoint_dir(spark)
+    panel = season_panel(spark, sf_dir).select(*KEY, "full_name").checkpoint(eager=True)
+    return left_join_normalized(panel, pitch_side(spark, sf_dir), name="full_name", period="season",
+                                hot_share=0.01).checkpoint(eager=True)
 
 
 _SHARE_SQL = ",\n         ".join(
@@ -133,7 +140,7 @@ def typed_impute_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extended panel cleaning: ratings to 100, then per numeric column 0 for
     percentage columns and the exact median otherwise."""
     panel = fill_constants(with_target(season_panel(spark, sf_dir, variant="extended")), LEAGUE_AVERAGE_FILL)
-    out = typed_impute(panel.select(*KEY, *_EXT_NUMERIC), columns=_EXT_NUMERIC)
+    out = typed_impute(panel.select(*KEY, *_EXT_NUMERIC), exclude=KEY)
     return out.select(*KEY, *_ZERO, *_MED)
 
 
@@ -163,7 +170,37 @@ FROM (SELECT CAST(year(l_shipdate) AS INTEGER) AS season, count(*) AS n_games FR
 def game_log_coverage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Game-log rows per season, flagged by whether the season is in the model panel."""
     logs = game_log(spark, sf_dir).groupBy("season").agg(F.count(F.lit(1)).alias("n_games"))
-    panel_seasons = season_panel(spark, sf_dir).select("season").distinct()
-    missing = missing_periods(logs, panel_seasons, "season").withColumn("_missing", F.lit(1))
-    return logs.join(missing, "season", "left").select(
-        "season", "n_games", F.when(c("_missing") == 1, 0).otherwise(1).cast("int").alias("in_model"))
+    in_panel = season_panel(spark, sf_dir).select("season").distinct().withColumn("_in", F.lit(1))
+    return logs.join(in_panel, "season", "left").select(
+        "season", "n_games", F.coalesce("_in", F.lit(0)).alias("in_model"))
+
+
+@query("missing_log_seasons", "J4",
+       ob.panel_query("""
+SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS season FROM lineitem
+EXCEPT SELECT season FROM panel"""))
+def missing_log_seasons_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasons of the game log that the panel does not hold."""
+    return missing_periods(game_log(spark, sf_dir), season_panel(spark, sf_dir), "season")
+
+
+@query("career_shape", "A13 J3 W14-W17",
+       ob.panel_query("""
+SELECT player_id, min(a) AS first, max(z) AS last, CAST(sum(n) AS BIGINT) AS n_periods,
+       CAST(max(z) - min(a) + 1 - sum(n) AS BIGINT) AS missing, arg_max(n, z) AS current_run, max(n) AS longest_run
+FROM (SELECT player_id, count(*) AS n, CAST(min(season) AS BIGINT) AS a, CAST(max(season) AS BIGINT) AS z
+      FROM (SELECT player_id, season, season - row_number() OVER (PARTITION BY player_id ORDER BY season) AS island FROM panel)
+      GROUP BY player_id, island)
+GROUP BY player_id"""))
+def career_shape_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length, gaps and streaks of every career, from bitmaps."""
+    return career_shape(season_panel(spark, sf_dir), SPEC)
+
+
+@query("season_quantiles", "A16 P17",
+       ob.panel_query("""
+SELECT season, quantile_cont(total_strikeouts::DOUBLE, 0.1) AS p10, quantile_cont(total_strikeouts::DOUBLE, 0.5) AS p50,
+       quantile_cont(total_strikeouts::DOUBLE, 0.9) AS p90 FROM panel GROUP BY season"""))
+def season_quantiles_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact strikeout quantiles per season."""
+    return grouped_quantiles(season_panel(spark, sf_dir), ["season"], "total_strikeouts", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
