@@ -2,14 +2,16 @@
 
 A document's features are the distinct character n-grams of its lower-cased
 text, hashed.  Each is scaled by its log-count ratio between toxic and clean
-training documents, and a logistic model is fitted to the scaled features by
-gradient descent in numpy.
+training documents, shrunk smoothly where chance may have made it, and a logistic model is fitted to the scaled
+features by stochastic gradient descent in numpy.  No n-gram is cut.
 
 The model is fitted on a sample bounded by a parameter (rows per class); tasks
-send counts per bucket, and then each sample document's telling buckets.
+send each sample document's buckets, as ids or as a bitmap, whichever is smaller: at most ``buckets`` / 8 bytes a row,
+however long the texts are.
 The classes' shares among all admitted labels are put back through the bias.
 Every text is scored whole.  Null and empty texts have no features: their
-score comes from the bias.  Null labels are no sample rows; of repeated label
+score comes from the bias.  Very long texts are hashed in stretches.  Repeated rows are scored each;
+the smallest text of an id is its sample row.  An empty table gives no rows.  Null labels are no sample rows; of repeated label
 rows the largest label of an id counts.  Without two classes in the sample the
 score is the mean label (0.5 without any).  Extra columns are ignored.
 """
@@ -63,84 +65,94 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def log_ratios(seen: np.ndarray, seen_1: np.ndarray, n: int, ones: int, smoothing: float = 1.0, least: int = 3,
-               clear: float = 4.5) -> np.ndarray:
-    """Per bucket the log of its share of label 1 rows over its share of the
-    others; 0 for buckets in fewer than ``least`` rows and for those whose count among
-    label 1 rows is within ``clear`` standard deviations of an even spread."""
+def log_ratios(seen: np.ndarray, seen_1: np.ndarray, n: int, ones: int, smoothing: float = 1.0,
+               doubt: float = 6.0) -> np.ndarray:
+    """Per bucket the log of its share of label 1 rows over its share of the others.
+
+    A count among label 1 rows that lies z standard deviations from an even spread keeps z^4 / (z^4 + doubt^4)
+    of its ratio: of 2^18 buckets many stand a few deviations off by chance, and a clear one keeps all of it.
+    The share kept depends on the bucket's own counts, not on the sample's size; none is set to 0."""
     # document frequencies against the class sizes, so that text length does not tilt the ratio
     p, q = smoothing + seen_1, smoothing + seen - seen_1
     ratio = np.log(p / (ones + 2 * smoothing)) - np.log(q / (n - ones + 2 * smoothing))
     share = ones / n
-    chance = np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    return np.where((seen < least) | (np.abs(seen_1 - seen * share) < clear * chance), 0, ratio)
+    z4 = ((seen_1 - seen * share) ** 2 / np.maximum(seen * share * (1 - share), 1e-9)) ** 2
+    return np.where(seen > 0, ratio * (z4 / (z4 + doubt ** 4)), 0.0)
+
+
+def pack(own: np.ndarray, buckets: int) -> bytes:
+    """Distinct buckets as 32-bit ids, or as a bitmap where that is no longer."""
+    if 4 * len(own) < buckets // 8:
+        return own.astype("<i4").tobytes()
+    mark = np.zeros(buckets, bool)
+    mark[own] = True
+    return np.packbits(mark).tobytes()
+
+
+def unpack(packed: bytes, buckets: int) -> np.ndarray:
+    if len(packed) < buckets // 8:
+        return np.frombuffer(packed, "<i4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), count=buckets)).astype(np.int32)
 
 
-def train(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, prior: float, sizes: tuple[int, ...] = SIZES,
-          penalty: float = 1e-4, steps: int = 150, rate: float = 0.1) -> Model:
-    """Fit on (distinct buckets with a ratio, label) rows of both labels;
-    ``prior`` is the share of label 1 to calibrate for."""
+def train(rows: list[tuple[bytes, int]], prior: float, buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES,
+          penalty: float = 1e-4, epochs: int = 8, batch: int = 100, reach: float = 10.0) -> Model:
+    """Fit on (packed buckets, label) rows of both labels, whose classes weigh the same;
+    ``prior`` is the share of label 1 to calibrate for.  A first step moves the score of a row of mean
+    length by about ``reach``, so that no row is settled at once.  Memory: the rows and one batch."""
     y = np.array([r[1] for r in rows], np.float64)
-    buckets, ones = len(ratio), y.sum()
-    row = np.repeat(np.arange(len(rows)), [len(own) for own, _ in rows])
-    idx = np.concatenate([own for own, _ in rows])
-    value = ratio[idx]
+    n, ones = len(y), int(y.sum())
+    seen, seen_1 = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    for packed, label in rows:
+        own = unpack(packed, buckets)
+        seen[own] += 1
+        seen_1[own] += label
+    ratio = log_ratios(seen, seen_1, n, ones)
+    rate = reach / max(float(seen @ np.abs(ratio)) / n, 1e-9)
+    side = np.where(y > 0, 0.5 / ones, 0.5 / (n - ones)) * n
     weight, bias, g_weight, g_bias = np.zeros(buckets), 0.0, np.full(buckets, 1e-8), 1e-8
-    side = np.where(y > 0, 0.5 / ones, 0.5 / (len(y) - ones))
-    for _ in range(steps):
-        logit = np.bincount(row, value * weight[idx], len(y)) + bias
-        err = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y) * side
-        grad = np.bincount(idx, value * err[row], buckets) + penalty * weight
-        g_weight += grad ** 2
-        g_bias += err.sum() ** 2
-        weight -= rate * grad / np.sqrt(g_weight)
-        bias -= rate * err.sum() / np.sqrt(g_bias)
+    order = np.random.default_rng(0)
+    for _ in range(epochs):
+        for part in np.array_split(order.permutation(n), max(1, -(-n // batch))):
+            held = [unpack(rows[i][0], buckets) for i in part]
+            row, idx = np.repeat(np.arange(len(part)), [len(own) for own in held]), np.concatenate(held)
+            value = ratio[idx]
+            logit = np.bincount(row, value * weight[idx], len(part)) + bias
+            err = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y[part]) * side[part] / len(part)
+            grad = np.bincount(idx, value * err[row], buckets) + penalty * weight
+            g_weight += grad ** 2
+            g_bias += err.sum() ** 2
+            weight -= rate * grad / np.sqrt(g_weight)
+            bias -= 0.1 * err.sum() / np.sqrt(g_bias)
     return Model(weight * ratio, float(bias + np.log(prior / (1 - prior))), buckets, sizes)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, ok: F.Column, rows_per_class: int = 1500,
         buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES, prior: float | None = None) -> Model:
     """Fit on labelled rows of ``docs`` (doc_id, text) that ``ok`` admits;
-    ``prior`` overrides the share of label 1 among them.  The driver gets a count
-    per bucket, then the sample rows' buckets that tell the labels apart."""
+    ``prior`` overrides the share of label 1 among them.  The driver gets the sample rows' packed
+    buckets: with these defaults at most 3,000 x 32 kB."""
     sample = F.broadcast(sample_labels(labels, label, rows_per_class, ok))     # at most 2 x rows_per_class ids
-    chosen = docs.select("doc_id", "text").join(sample, "doc_id")
-
-    def tally(cols):
-        mark, seen, seen_1 = np.zeros(buckets, bool), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        rows = [0, 0]
-        for _, text, y in zip(*cols):
-            own = gram_buckets(text, buckets, sizes, mark)
-            seen[own] += 1
-            seen_1[own] += y
-            rows[y] += 1
-        used = np.flatnonzero(seen)
-        # buckets -1 and -2 count the rows of either label
-        yield from zip((*used.tolist(), -1, -2), (*seen[used].tolist(), *rows), (*seen_1[used].tolist(), 0, 0))
-
-    counts = map_rows(chosen, tally, "bucket int, n long, ones long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow()
-    bucket, n, n_1 = (counts.column(i).to_numpy() for i in range(3))
-    zeros, ones = (int(n[bucket == k].sum()) for k in (-1, -2))
-    if not zeros or not ones:
-        mean = float(np.clip(ones / (zeros + ones) if zeros + ones else 0.5, 1e-3, 1 - 1e-3))
-        return Model(np.zeros(buckets), float(np.log(mean / (1 - mean))), buckets, sizes)
-    seen, seen_1 = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    seen[bucket[bucket >= 0]], seen_1[bucket[bucket >= 0]] = n[bucket >= 0], n_1[bucket >= 0]
-    ratio = log_ratios(seen, seen_1, zeros + ones, ones)
-    telling = ratio != 0
+    # one row of each id, whatever repeats
+    chosen = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("label").alias("label"))
 
     def grams(cols):
         mark = np.zeros(buckets, bool)
         for doc_id, text, y in zip(*cols):
-            own = gram_buckets(text, buckets, sizes, mark)
-            yield doc_id, own[telling[own]].astype(np.int32).tobytes(), y
+            yield doc_id, pack(gram_buckets(text, buckets, sizes, mark), buckets), y
 
     got = map_rows(chosen, grams, "doc_id long, buckets binary, label int").collect()
     got.sort(key=lambda r: (r[0], r[2], bytes(r[1])))
+    rows = [(bytes(r[1]), r[2]) for r in got]
+    ones = sum(y for _, y in rows)
+    if not 0 < ones < len(rows):
+        mean = float(np.clip(ones / len(rows) if rows else 0.5, 1e-3, 1 - 1e-3))
+        return Model(np.zeros(buckets), float(np.log(mean / (1 - mean))), buckets, sizes)
     if prior is None:
         n = {r[0]: r[1] for r in labels.where(ok & F.col(label).isin(0, 1)).groupBy(label).count().collect()}
         prior = (n.get(1, 0) + 1) / (n.get(0, 0) + n.get(1, 0) + 2)
-    return train([(np.frombuffer(r[1], np.int32), r[2]) for r in got], ratio, prior, sizes)
+    return train(rows, prior, buckets, sizes)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -117,3 +117,31 @@ def _end_bits(model, word):
 def test_fold_is_crc32(spark):
     rows = spark.range(50).select("id", fold("id", 5).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)
+
+
+def test_toxic_recall_and_precision(spark):
+    rows = QUERIES["op9_toxicity"](spark, SF.replace("sf0.01", "sf0.1")).join(
+        spark.read.parquet(SF.replace("sf0.01", "sf0.1") + "/labels.parquet"), "doc_id").where("held_out").collect()
+    hits = sum(r["predicted"] and r["toxic"] == 1 for r in rows)
+    recall, precision = hits / sum(r["toxic"] == 1 for r in rows), hits / sum(r["predicted"] for r in rows)
+    print("recall", recall, "precision", precision)
+    assert recall >= 0.8 and precision >= 0.95
+
+
+def test_rare_toxic_words_keep_weight():
+    """A word in 5 of 3,000 rows, all toxic, raises a score; nothing is cut."""
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choices([f"bad{i}" for i in range(40)] if i % 2 else [f"good{i}" for i in range(40)], k=6)), i % 2) for i in range(3000)]
+    rows[1:11:2] = [(t + " qzvxkw", y) for t, y in rows[1:11:2]]
+    mark = np.zeros(toxicity.BUCKETS, bool)
+    packed = [(toxicity.pack(toxicity.gram_buckets(t, toxicity.BUCKETS, toxicity.SIZES, mark), toxicity.BUCKETS), y) for t, y in rows]
+    model = toxicity.train(packed, 0.5)
+    with_word, without = model.scores(["neutral qzvxkw", "neutral"])
+    assert with_word > without
+
+
+def test_packed_buckets():
+    for size in (0, 1, 8191, 8192, 100_000):
+        own = np.sort(np.random.default_rng(size).permutation(1 << 18)[:size])
+        packed = toxicity.pack(own, 1 << 18)
+        assert len(packed) <= 1 << 15 and (toxicity.unpack(packed, 1 << 18) == own).all()
