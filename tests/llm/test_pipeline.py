@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.01"
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "near_dedup", "substring_dedup", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLES) <= set(QUERIES)
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.fixture(scope="module")
