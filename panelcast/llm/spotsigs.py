@@ -1,20 +1,19 @@
 """Document fingerprints by spot signatures, in SQL functions only.
 
 Text is lower-cased, ASCII white space becomes blanks and ASCII punctuation goes.  At each anchor, a common word, the chain of the next two content
-words (words that are no anchors) is a signature.  Texts with fewer than
-``FEW`` signatures get a second set, the chains that begin at every word (a
-lone word is a chain).  A fingerprint is the sorted distinct signature hashes in hexadecimal, the
-second set after a bar.
+words (words that are no anchors) is a signature.  A text without any such chain takes the pairs of
+neighbouring words instead (a lone word is a pair by itself), hashed alike, so that every text has one kind of set.
+A fingerprint is the sorted distinct signature hashes in hexadecimal.
 
-Fingerprints are compared by Jaccard similarity, of the union of both sets where
-both have the second, else of the first.  Sets are partitioned by length on a
-logarithmic scale: where the partitions show that the similarity is below
-``PRUNE``, the sets are not compared and it counts as 0.
+Fingerprints are compared by Jaccard similarity.  Sets are partitioned by length on a
+logarithmic scale: a search that only wants similarities from ``least`` on does not intersect
+sets whose partitions rule it out.  The default, 0, gives the similarity of every pair.
 
 Null and empty texts have the empty fingerprint; two empty ones are alike (1), an
 empty and another not (0).  Equal texts have equal fingerprints.  Rows of one
 id and equal text count once in the order of documents; rows with null ids
-come first.  Other columns are ignored.
+come first.  Texts are processed whole, however long.  Ties cannot arise, as order is by id and
+text hash.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +33,6 @@ der die und den von zu das mit sich im auf für nicht ist dem ein als eine
 el y los se del las por con no una su para es al lo
 """
 BLANKS, MARKS = "\t\n\x0b\x0c\r", "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
-FEW, PRUNE = 8, 0.05
 
 
 def _anchors() -> str:
@@ -44,8 +42,7 @@ def _anchors() -> str:
 
 
 def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with a struct column ``name`` (own, every) of the text's sets;
-    ``every`` is null where the first is large enough.  Steps that are used more than once are columns, so
+    """``df`` with the array column ``name``, the text's sorted signatures.  Steps that are used more than once are columns, so
     that they are evaluated once, and not for every element of an array."""
     some = _anchors()
     skip = rf"(?:{some} +)*+"
@@ -55,22 +52,18 @@ def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
     # anchors may stand between a chain's two words
     own = F.transform(chains, lambda c: F.xxhash64(F.substring_index(c, " ", 1), F.substring_index(c, " ", -1)))
     words = F.col("__words")
-    every = (F.when(F.col("__plain") == "", F.array().cast("array<bigint>"))
+    pairs = (F.when(F.size(words) == 0, F.array().cast("array<bigint>"))
              .when(F.size(words) == 1, F.array(F.xxhash64(words[0])))
-             .when(words.isNotNull(), F.transform(F.sequence(F.lit(1), F.size(words) - 1),
-                                                  lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i)))))
+             .otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i)))))
     return (df.withColumn("__plain", letters)
             .withColumn("__own", F.sort_array(F.array_distinct(own)))
-            .withColumn("__words", F.when(F.size("__own") < FEW, F.filter(F.split("__plain", " "), lambda w: w != "")))
-            .withColumn(name, F.struct(F.col("__own").alias("own"), F.sort_array(F.array_distinct(every)).alias("every")))
+            .withColumn("__words", F.when(F.size("__own") == 0, F.filter(F.split("__plain", " "), lambda w: w != "")))
+            .withColumn(name, F.when(words.isNull(), F.col("__own")).otherwise(F.sort_array(F.array_distinct(pairs))))
             .drop("__plain", "__own", "__words"))
 
 
-def fingerprint(sets: Column) -> Column:
-    def digits(x):
-        return F.array_join(F.transform(x, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), " ")
-    return F.when(sets["every"].isNull(), digits(sets["own"])).when(F.size(sets["every"]) == 0, F.lit("")).otherwise(
-        F.concat(digits(sets["own"]), F.lit("|"), digits(sets["every"])))
+def fingerprint(spots: Column) -> Column:
+    return F.array_join(F.transform(spots, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), " ")
 
 
 def length_partition(size: Column) -> Column:
@@ -78,16 +71,16 @@ def length_partition(size: Column) -> Column:
     return F.ceil(F.log2(F.greatest(size, F.lit(1)))).cast("int")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two fingerprints' sets, 0 where their lengths rule PRUNE out."""
-    def jaccard(x, y):
-        apart = F.abs(length_partition(F.size(x)) - length_partition(F.size(y)))
-        both = F.size(F.array_intersect(x, y))
-        total = F.size(x) + F.size(y) - both
-        return (F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when(apart > 1 - math.floor(math.log2(PRUNE)), 0.0)
-                .otherwise(both / F.when(total > 0, total)))
-    return F.when(a["every"].isNotNull() & b["every"].isNotNull(),
-                  jaccard(F.array_union(a["own"], a["every"]), F.array_union(b["own"], b["every"]))).otherwise(jaccard(a["own"], b["own"]))
+def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Jaccard similarity of two sets of signatures; with ``least`` above 0, pairs whose lengths rule
+    that similarity out count as 0."""
+    both = F.size(F.array_intersect(a, b))
+    total = F.size(a) + F.size(b) - both
+    alike = F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0)
+    if least > 0:
+        apart = F.abs(length_partition(F.size(a)) - length_partition(F.size(b)))
+        alike = alike.when(apart > 1 - math.floor(math.log2(least)), 0.0)
+    return alike.otherwise(both / F.when(total > 0, total))
 
 
 def _order(docs: DataFrame) -> DataFrame:
