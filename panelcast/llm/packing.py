@@ -6,8 +6,8 @@ one shard, longest first: of the open sequences that a piece fits, it goes
 where the squared counts of open sequences per residual gap become smallest
 (ties: the smallest gap), and a new sequence is opened where none fits.
 Sequences that stay emptier than ``tolerance`` are taken apart, and the pieces of all
-shards' such sequences are packed in a next round, until a round is one shard
-or leaves more than half of its pieces in such sequences.
+shards' such sequences are packed in a next round, until a round is one shard or
+saves less than ``worth`` of the sequences that it began with; one that saves none is not used.
 Shards are dealt by row and hold about ``per_shard`` pieces at any input size.
 
 Null and empty texts are a document of the end id alone.  Repeated documents
@@ -182,7 +182,8 @@ def _pack_shard(capacity: int, tolerance: float, top: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_shard: int = PER_SHARD, tolerance: float = 0.01) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_shard: int = PER_SHARD, tolerance: float = 0.01,
+         worth: float = 0.01) -> DataFrame:
     """``pieces`` (a table with a column ``length`` of 1 to ``capacity``) with
     columns sequence_id and offset.  Its rows should be cheap to read again."""
     ship_package(pieces.sparkSession)
@@ -191,18 +192,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_shard: int = PER_SHARD
     schema = T.StructType([*plain.schema.fields, T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType()), T.StructField("__poor", T.BooleanType())])
     done, level, count = [], 0, todo.count()
+    kept, held = None, None             # the poor sequences of the round before, and how many
     while True:
         shards = max(1, -(-count // per_shard))
         row = F.monotonically_increasing_id()       # of a written table, so it stays
-        dealt = todo.withColumn("__shard", F.pmod(F.xxhash64(row), F.lit(shards)))
+        dealt = todo.withColumn("__shard", F.pmod(F.xxhash64(row, F.lit(level)), F.lit(shards)))
         packed = written(dealt.groupBy("__shard").applyInPandas(_pack_shard(capacity, tolerance, level << 56), schema), f"packed{level}")
-        poor = packed.where("__poor").count() if shards > 1 else 0
-        # lengths that leave gaps wherever they go stay as they are
-        if not 0 < poor <= count / 2:
+        sizes = packed.groupBy("sequence_id").agg(F.first("__poor").alias("poor"), F.count(F.lit(1)).alias("n")).agg(
+            F.count(F.lit(1)).alias("all"), F.count_if("poor").alias("poor"), F.sum(F.when(F.col("poor"), F.col("n"))).alias("pieces")).first()
+        if held is not None and sizes["all"] >= held:
+            done.append(kept)
+            break
+        if shards == 1 or not sizes["poor"] or (held is not None and sizes["all"] > (1 - worth) * held):
             done.append(packed.drop("__poor"))
             break
         done.append(packed.where(~F.col("__poor")).drop("__poor"))
-        todo, level, count = packed.where("__poor").drop("sequence_id", "offset", "__poor"), level + 1, poor
+        kept, held = packed.where("__poor").drop("__poor"), sizes["poor"]
+        todo, level, count = kept.drop("sequence_id", "offset"), level + 1, sizes["pieces"]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -79,7 +79,6 @@ def test_sum_of_squares_places_everything(lengths):
 def test_pieces_and_packing(spark, edge_docs, no_docs, edge_rows):
     from tokenizers import Tokenizer
     real = Tokenizer.from_file(JSON)
-    real.encode_special_tokens = True
     want = sorted((str(i), [*real.encode(t or "", add_special_tokens=False).ids, 0]) for i, t, *_ in edge_rows)
     cut = packing.pieces(edge_docs, JSON, capacity=256)
     rows = packing.pack(cut.withColumn("offset", F.lit("taken")), 256, per_shard=64).collect()
@@ -103,6 +102,23 @@ def test_pieces_and_packing(spark, edge_docs, no_docs, edge_rows):
     assert packing.pack(packing.pieces(no_docs, JSON)).count() == 0
 
 
+@pytest.mark.parametrize("low,high", [(1100, 1500), (650, 1100), (300, 2048)])
+def test_shards_need_hardly_more_sequences_than_one(spark, low, high):
+    rng = np.random.default_rng(low)
+    lengths = rng.integers(low, high + 1, 4000)
+    cut = spark.createDataFrame([(int(n),) for n in lengths], "length long")
+    rows = packing.pack(cut, per_shard=500).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(r["length"] for r in rows) == sorted(lengths.tolist())
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist() and sum(n for _, n in own) <= 2048
+    one = len(packing.sum_of_squares(np.sort(lengths)[::-1], 2048)[2])
+    assert len(bins) <= 1.01 * one
+
+
 def test_added_tokens_in_texts(spark):
     from tokenizers import Tokenizer
     real = Tokenizer.from_file(JSON)
