@@ -8,7 +8,8 @@ For a query a shard's terms are ordered by bound; the trailing terms whose
 bounds together cannot lift a vector over the k-th best score so far are
 non-essential.  The essential postings are traversed for all vectors, and
 the others are probed, strongest first, only for vectors that can still compete.
-Each shard gives its k best per query, and a ranking merges the shards.
+Each shard gives its k best per query, and a ranking merges the shards.  One shard is searched
+first: its k-th best score of each query is the threshold that every other shard starts with.
 
 A vector is an array of integers.  Vectors of different length are compared
 over their common components.  Null vectors and vectors with null components are left
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import by_key, map_rows, partitions, written
+from panelcast.llm.common import by_key, map_rows, written
 
 SHARD, QUERIES, STEP = 1024, 512, 8
 
@@ -50,8 +51,10 @@ def _matrix(vectors: list[list[int]], width: int) -> np.ndarray:
     return out
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's ``k`` best in a shard, by MaxScore."""
+def search(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.ndarray, k: int,
+           floors: list[int | None] | None = None) -> list[tuple[int, int, int]]:
+    """(query id, id, score) of each query's ``k`` best in a shard, by MaxScore.  Vectors that
+    score below a query's floor may be left out."""
     out = []
     if not len(ids):
         return out
@@ -59,7 +62,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: n
     # postings: a row per term, one for either sign of the query's weight
     above, below = np.ascontiguousarray((shard - low).T), np.ascontiguousarray((high - shard).T)
     span = high - low
-    for q, own in zip(queries, query_ids):
+    for q, own, floor in zip(queries, query_ids, floors or [None] * len(queries)):
         size = abs(q)
         bound = size * span                                     # contributions lie between 0 and this
         base = (np.where(q > 0, low, high) * q).sum()           # of a vector without contributions
@@ -68,16 +71,17 @@ def search(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: n
         rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])
         alive = np.flatnonzero(ids != own)
         score = np.zeros(len(alive), shard.dtype)
-        least, at = -1, 0
+        least, at = -1 if floor is None else max(-1, floor - base), 0
         while at < len(order):
             upto = min(len(order), at + STEP)
             for t in order[at:upto]:
                 posting = above[t] if q[t] > 0 else below[t]
                 score = score + size[t] * (posting if len(alive) == len(ids) else posting[alive])
             at = upto
-            if len(alive) > k:
-                # the k-th best score that is certain so far
-                least = max(least, np.partition(score.astype(np.float64), len(score) - k)[len(score) - k])
+            if len(alive) > k or least >= 0:
+                if len(alive) > k:
+                    # the k-th best score that is certain so far
+                    least = max(least, np.partition(score.astype(np.float64), len(score) - k)[len(score) - k])
                 # doubles may round whole numbers without limit: leave room
                 stay = (score + rest[at]).astype(np.float64) >= least * (1 if shard.dtype != object else 1 - 1e-12)
                 if not stay.all():
@@ -92,32 +96,40 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, shard_rows: int = S
     with each query (id, v), but the row of the query's own id.
 
     Candidates are packed into shards and queries into blocks of fixed sizes;
-    a task joins one shard with one block.
+    a task joins one shard with one block, and the key is both, so that neither few
+    blocks nor few shards meet in one task.
     """
     spark = candidates.sparkSession
     candidates, queries = written(candidates.select("id", "v"), "candidates"), written(queries.select("id", "v"), "queries")
     shards = max(1, -(-candidates.count() // shard_rows))
     blocks = max(1, -(-queries.count() // block_rows))
-    packed = "part int, width int, ids array<long>, vectors array<array<long>>"
 
-    def gather(key, rows):
-        yield key[0], max(len(r[1]) for r in rows), [r[0] for r in rows], [r[1] for r in rows]
-
-    def dealt(df, n):
-        return by_key(df.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"), "id", "v"), ["part"], gather, packed)
-
-    many = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    each = dealt(candidates, shards).withColumn("block", many)
-    asked = dealt(queries, blocks).select(F.col("part").alias("block"), F.col("width").alias("q_width"),
-                                          F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    def dealt(df, n, *more):
+        """Rows of a part gathered: width, ids, vectors and, where given, floors."""
+        def gather(key, rows):
+            yield key[0], max(len(r[1]) for r in rows), *([r[i] for r in rows] for i in range(2 + len(more)))
+        kind = "part int, width int, ids array<long>, vectors array<array<long>>" + ", floors array<long>" * len(more)
+        return by_key(df.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"), "id", "v", *more), ["part"], gather, kind)
 
     def run(cols):
-        for width, ids, vectors, q_width, q_ids, q_vectors in zip(*cols):
+        for width, ids, vectors, q_width, q_ids, q_vectors, floors in zip(*cols):
             both = _matrix(vectors + q_vectors, max(width, q_width))
-            yield from search(both[len(vectors):], np.array(q_ids, np.int64), both[:len(vectors)], np.array(ids, np.int64), k)
-
-    pairs = each.join(asked.hint("merge"), "block").select("width", "ids", "vectors", "q_width", "q_ids", "q_vectors")
-    pairs = pairs.repartition(max(partitions(spark), 1), F.xxhash64("ids", "q_ids"))
-    found = map_rows(pairs, run, "query_id long, id long, score long", rows=1)
+            yield from search(both[len(vectors):], np.array(q_ids, np.int64), both[:len(vectors)], np.array(ids, np.int64), k, floors)
+
+    def met(shard, asked, own):
+        """Each of ``own`` shards' rows with each block's."""
+        asked = asked.select(F.col("part").alias("block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"),
+                             F.col("vectors").alias("q_vectors"), "floors").withColumn("part", F.explode(F.sequence(F.lit(own[0]), F.lit(own[1]))))
+        each = shard.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = each.join(asked.hint("shuffle_hash"), ["part", "block"])
+        return map_rows(pairs.select("width", "ids", "vectors", "q_width", "q_ids", "q_vectors", "floors"), run, "query_id long, id long, score long", rows=1)
+
+    packed = written(dealt(candidates, shards), "shards")
+    first = written(met(packed.where("part = 0"), dealt(queries.withColumn("floor", F.lit(None).cast("long")), blocks, "floor"), (0, 0)), "first")
+    found = first
+    if shards > 1:
+        floor = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+        asked = queries.join(floor.withColumnRenamed("query_id", "id"), "id", "left")
+        found = first.unionByName(met(packed.where("part > 0"), dealt(asked, blocks, "floor"), (1, shards - 1)))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

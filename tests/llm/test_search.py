@@ -39,3 +39,33 @@ def test_edge_vectors(spark):
     assert {(r["query_id"], r["rank"], r["id"], r["score"]) for r in got} == {(0, 1, 5, 1600), (5, 1, 0, 1600)}
     assert maxscore.top_k(df.limit(0), df, 5).count() == 0 and maxscore.top_k(df, df.limit(0), 5).count() == 0
     assert maxscore.top_k(df.where("id = 0"), df.where("id = 0"), 5).count() == 0
+
+
+def test_one_block_meets_its_shards_in_several_tasks(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: [int(x) for x in rng.integers(-9, 10, 6)] for i in range(400)}
+    df = spark.createDataFrame(list(vectors.items()), "id long, v array<long>")
+    keys = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(keys, ("false", "-1")):
+            spark.conf.set(k, v)
+        found = maxscore.top_k(df.where("id % 50 = 0"), df, 5, shard_rows=10)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found.collect()}
+    finally:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+    assert "hashpartitioning(part" in plan and "block" in plan
+    want = brute(vectors, [i for i in vectors if i % 50 == 0], 5)
+    assert got == {(q, n + 1): x for q, own in want.items() for n, x in enumerate(own)}
+
+
+def test_floors_leave_the_best_in_place():
+    rng = np.random.default_rng(8)
+    shard, queries = rng.integers(-5, 6, (200, 8)).astype(float), rng.integers(-5, 6, (20, 8)).astype(float)
+    ids, own = np.arange(200), np.arange(1000, 1020)
+    plain = maxscore.search(queries, own, shard, ids, 5)
+    fifth = {q: min(s for a, _, s in plain if a == q) for q in own.tolist()}
+    assert maxscore.search(queries, own, shard, ids, 5, [fifth[q] for q in own.tolist()]) == plain
+    above = maxscore.search(queries, own, shard, ids, 5, [fifth[q] + 1 for q in own.tolist()])
+    assert {x for x in above if x[2] > fifth[x[0]]} == {x for x in plain if x[2] > fifth[x[0]]}
