@@ -135,6 +135,17 @@ def elite_tier_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elite_tier(main_projection_df(spark, sf_dir))
 
 
+OWN_CUT = 175
+
+
+@query("elite_tier_own_cut", "R7", pq(
+    f"SELECT rank, pitcher, team, projected_so, range_low, range_high FROM main_proj WHERE projected_so >= {OWN_CUT}",
+    keep=("pitcher", "team")))
+def elite_tier_own_cut_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tier from a cut of one's own up, where the stand-in's partial season reaches no 200."""
+    return elite_tier(main_projection_df(spark, sf_dir), OWN_CUT)
+
+
 @query("supplemental_projection", "R2 J3 W20 P14 W21", pq(
     "SELECT * FROM supp_ranked", keep=("pitcher", "team", "confidence", "note")))
 def supplemental_q(spark: SparkSession, sf_dir: str) -> DataFrame:
