@@ -6,8 +6,8 @@ training documents, shrunk smoothly where chance may have made it, and a logisti
 features by stochastic gradient descent in numpy.  No n-gram is cut.
 
 The model is fitted on a sample bounded by a parameter (rows per class); tasks
-send each sample document's buckets, as ids or as a bitmap, whichever is smaller: at most ``buckets`` / 8 bytes a row,
-however long the texts are.
+send each sample document's buckets, as deflated gaps or as a bitmap, whichever is smaller: at most ``buckets`` / 8 bytes a row,
+however long the texts are.  The driver holds the packed rows and opens one at a time.
 The classes' shares among all admitted labels are put back through the bias.
 Every text is scored whole.  Null and empty texts have no features: their
 score comes from the bias.  Very long texts are hashed in stretches.  Repeated rows are scored each;
@@ -18,6 +18,7 @@ score is the mean label (0.5 without any).  Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,9 +82,14 @@ def log_ratios(seen: np.ndarray, seen_1: np.ndarray, n: int, ones: int, smoothin
 
 
 def pack(own: np.ndarray, buckets: int) -> bytes:
-    """Distinct buckets as 32-bit ids, or as a bitmap where that is no longer."""
-    if 4 * len(own) < buckets // 8:
-        return own.astype("<i4").tobytes()
+    """Distinct buckets, ascending,  as deflated gaps, or as a bitmap where that is no longer."""
+    # a gap past 254 is written as 255s and the rest
+    many, rest = np.divmod(np.diff(own, prepend=0), 255)
+    steps = np.full(len(own) + int(many.sum()), 255, np.uint8)
+    steps[np.cumsum(many + 1) - 1] = rest
+    packed = zlib.compress(steps.tobytes(), 1)
+    if len(packed) < buckets // 8:
+        return packed
     mark = np.zeros(buckets, bool)
     mark[own] = True
     return np.packbits(mark).tobytes()
@@ -91,7 +97,8 @@ def pack(own: np.ndarray, buckets: int) -> bytes:
 
 def unpack(packed: bytes, buckets: int) -> np.ndarray:
     if len(packed) < buckets // 8:
-        return np.frombuffer(packed, "<i4")
+        steps = np.frombuffer(zlib.decompress(packed), np.uint8)
+        return np.cumsum(steps, dtype=np.int32)[steps < 255]
     return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), count=buckets)).astype(np.int32)
 
 
@@ -99,7 +106,8 @@ def train(rows: list[tuple[bytes, int]], prior: float, buckets: int = BUCKETS, s
           penalty: float = 1e-4, epochs: int = 8, batch: int = 100, reach: float = 10.0) -> Model:
     """Fit on (packed buckets, label) rows of both labels, whose classes weigh the same;
     ``prior`` is the share of label 1 to calibrate for.  A first step moves the score of a row of mean
-    length by about ``reach``, so that no row is settled at once.  Memory: the rows and one batch."""
+    length by about ``reach``, so that no row is settled at once.  Memory: the packed rows, one row opened and
+    a few arrays of ``buckets``."""
     y = np.array([r[1] for r in rows], np.float64)
     n, ones = len(y), int(y.sum())
     seen, seen_1 = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
@@ -114,12 +122,14 @@ def train(rows: list[tuple[bytes, int]], prior: float, buckets: int = BUCKETS, s
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for part in np.array_split(order.permutation(n), max(1, -(-n // batch))):
-            held = [unpack(rows[i][0], buckets) for i in part]
-            row, idx = np.repeat(np.arange(len(part)), [len(own) for own in held]), np.concatenate(held)
-            value = ratio[idx]
-            logit = np.bincount(row, value * weight[idx], len(part)) + bias
-            err = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y[part]) * side[part] / len(part)
-            grad = np.bincount(idx, value * err[row], buckets) + penalty * weight
+            grad, err = np.zeros(buckets), np.zeros(len(part))
+            for k, i in enumerate(part):
+                own = unpack(rows[i][0], buckets)
+                value = ratio[own]
+                logit = np.cumsum(value * weight[own])[-1:].sum() + bias
+                err[k] = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y[i]) * side[i] / len(part)
+                grad[own] += value * err[k]
+            grad += penalty * weight
             g_weight += grad ** 2
             g_bias += err.sum() ** 2
             weight -= rate * grad / np.sqrt(g_weight)
@@ -142,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, ok: F.Column, rows_per_c
         for doc_id, text, y in zip(*cols):
             yield doc_id, pack(gram_buckets(text, buckets, sizes, mark), buckets), y
 
-    got = map_rows(chosen, grams, "doc_id long, buckets binary, label int").collect()
-    got.sort(key=lambda r: (r[0], r[2], bytes(r[1])))
-    rows = [(bytes(r[1]), r[2]) for r in got]
+    packed = map_rows(chosen, grams, "doc_id long, buckets binary, label int")
+    # one row an id, so the id alone orders them
+    rows = [r[1:] for r in sorted((r[0], bytes(r[1]), r[2]) for r in packed.collect())]
     ones = sum(y for _, y in rows)
     if not 0 < ones < len(rows):
         mean = float(np.clip(ones / len(rows) if rows else 0.5, 1e-3, 1 - 1e-3))

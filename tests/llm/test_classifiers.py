@@ -145,3 +145,18 @@ def test_packed_buckets():
         own = np.sort(np.random.default_rng(size).permutation(1 << 18)[:size])
         packed = toxicity.pack(own, 1 << 18)
         assert len(packed) <= 1 << 15 and (toxicity.unpack(packed, 1 << 18) == own).all()
+
+
+def test_training_needs_little_memory():
+    """Packed rows are far shorter than plain ids, and a batch of long texts is opened a row at a time."""
+    import tracemalloc
+    own = np.sort(np.random.default_rng(1).permutation(1 << 18)[:6000])
+    assert 2 * len(toxicity.pack(own, 1 << 18)) < 4 * len(own)
+    ends = np.array([0, 254, 255, 510, 765, 766, (1 << 18) - 1])
+    assert (toxicity.unpack(toxicity.pack(ends, 1 << 18), 1 << 18) == ends).all()
+    long = [(toxicity.pack(np.arange(k % 2, 1 << 18, 2), 1 << 18), k % 2) for k in range(100)]
+    tracemalloc.start()
+    toxicity.train(long, 0.5, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
