@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.quantiles import column_medians
+from panelcast.session import ensure_checkpoint_dir
 from panelcast.sources.contract import numeric_columns
 
 c = F.col
@@ -34,12 +35,15 @@ ZERO_FILL_PATTERN = r"%|pct"
 def typed_impute(df: DataFrame, columns: Sequence[str] | None = None, zero_pattern: str = ZERO_FILL_PATTERN,
                  exclude: Sequence[str] = ()) -> DataFrame:
     """Numeric columns whose name matches ``zero_pattern`` get 0, the
-    others their column median (medians in one job, applied as literals)."""
+    others their column median (medians in one job, applied as literals).  The frame is
+    checkpointed, so that medians and fills share one run of its plan."""
     cols = [x for x in (columns or numeric_columns(df)) if x not in exclude]
     zero = [x for x in cols if re.search(zero_pattern, x)]
     rest = [x for x in cols if x not in zero]
     out = df.fillna({x: 0 for x in zero}) if zero else df
     if rest:
+        ensure_checkpoint_dir(df.sparkSession)
+        out = out.checkpoint(eager=True)
         med = column_medians(out, rest)
         out = out.withColumns({x: F.coalesce(c(x), med[x]) for x in rest})
     return out

@@ -105,23 +105,38 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column | str], probs: Se
     return out
 
 
+def _neighbours(ranks: Sequence[_Rank]) -> list[list[_Rank]]:
+    """Ranks of one interval that follow each other, as the two of a median do."""
+    out: list[list[_Rank]] = []
+    for w in sorted(ranks, key=lambda w: (w.i, w.rank)):
+        last = out[-1][-1] if out else None
+        if last and (last.i, last.above, last.below) == (w.i, w.above, w.below) and w.rank - last.rank <= 1:
+            out[-1].append(w)
+        else:
+            out.append([w])
+    return out
+
+
 def _narrow(vals: DataFrame, ranks: Sequence[_Rank], accuracy: int) -> None:
+    """One pair of pivots for neighbouring ranks, whose sketch and counts they share."""
     delta = 2.0 / accuracy
-    proposed = []
-    for k, w in enumerate(ranks):
-        q = (w.rank - w.base + 0.5) / w.size
-        ends = F.array(F.lit(max(q - delta, 0.0)), F.lit(min(q + delta, 1.0)))
+    groups, proposed = _neighbours(ranks), []
+    for k, near in enumerate(groups):
+        w = near[0]
+        first, last = ((r.rank - w.base + 0.5) / w.size for r in (w, near[-1]))
+        ends = F.array(F.lit(max(first - delta, 0.0)), F.lit(min(last + delta, 1.0)))
         proposed.append(F.percentile_approx(F.when(w.inside(), c(f"v{w.i}")), ends, accuracy).alias(f"p{k}"))
     row = vals.agg(*proposed).first()
-    pivots = [tuple(row[f"p{k}"]) for k in range(len(ranks))]
+    pivots = [tuple(row[f"p{k}"]) for k in range(len(groups))]
     counted = []
-    for k, (w, (lo, hi)) in enumerate(zip(ranks, pivots)):
-        v, inside = c(f"v{w.i}"), w.inside()
+    for k, (near, (lo, hi)) in enumerate(zip(groups, pivots)):
+        v, inside = c(f"v{near[0].i}"), near[0].inside()
         for name, cond in (("a", v < lo), ("b", v == lo), ("c", (v > lo) & (v < hi)), ("d", (v == hi) & F.lit(hi > lo))):
             counted.append(F.count(F.when(inside & cond, 1)).alias(f"{name}{k}"))
     row = vals.agg(*counted).first()
-    for k, w in enumerate(ranks):
-        w.narrow(pivots[k], [row[f"{name}{k}"] for name in "abcd"])
+    for k, near in enumerate(groups):
+        for w in near:
+            w.narrow(pivots[k], [row[f"{name}{k}"] for name in "abcd"])
 
 
 def _collect(vals: DataFrame, ranks: Sequence[_Rank]) -> None:

@@ -20,3 +20,27 @@ def test_selection_matches_numpy(spark, monkeypatch, limit):
         for q in probs:
             assert got[name, q] == pytest.approx(np.quantile(values, q), rel=1e-12), (name, q)
     assert all(got["none", q] is None for q in probs)
+
+
+def test_typed_impute_runs_its_input_once_and_medians_share_a_sketch(spark, monkeypatch):
+    from panelcast.operators import quantiles as qu
+    from panelcast.operators.impute import typed_impute
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    rows = [(i, None if i % 10 == 0 else float(i * 7919 % 10007), float(i % 13)) for i in range(4000)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4).map(counted), "id long, a double, b double")
+    sketches = []
+    sketch = qu.F.percentile_approx
+    monkeypatch.setattr(qu.F, "percentile_approx", lambda *a: sketches.append(a) or sketch(*a))
+    got = {r["id"]: (r["a"], r["b"]) for r in typed_impute(df, ["a", "b"]).collect()}
+    values = sorted(a for _, a, _ in rows if a is not None)
+    middle = (values[1799] + values[1800]) / 2
+    assert got == {i: (middle if a is None else a, b) for i, a, b in rows}
+    assert seen.value == 4000
+    # two ranks a column, one sketch for both
+    assert len(qu._neighbours([qu._Rank(0, 1799, 3600), qu._Rank(0, 1800, 3600), qu._Rank(1, 5, 3600)])) == 2
+    assert len(sketches) <= 4
