@@ -10,6 +10,7 @@ Only coefficients, importances and metric tables reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -93,7 +94,22 @@ def gradient_boosting(features: Sequence[str], label: str, iters: int = 100, dep
     return make
 
 
+#: Rows of a training partition above which a fit takes another round of partitions.
+PARTITION_ROWS = 2_000_000
+
+
+def few_partitions(train: DataFrame, rows: int = PARTITION_ROWS) -> DataFrame:
+    """The same rows in no more partitions than cores, or in as many rounds of them as keep a
+    partition near ``rows``.  Every pass of a tree fit shuffles one histogram a partition and open node, whatever the
+    rows in it: with partitions that grow with the input a forest's histograms outgrow its rows."""
+    cores, have = train.sparkSession.sparkContext.defaultParallelism, train.rdd.getNumPartitions()
+    if have <= cores:
+        return train
+    return train.coalesce(cores * max(1, math.ceil(train.count() / (cores * rows))))
+
+
 def fit(train: DataFrame, factory: Factory) -> PipelineModel:
+    train = few_partitions(train)
     return factory(train).fit(train)
 
 

@@ -60,3 +60,24 @@ def test_verdicts_in_units_and_percent(spark):
     assert {r["model"]: (r["verdict"], r["pct_verdict"]) for r in got} == {
         "base": ("same", "not improved"), "a": ("same", "improved"), "b": ("same", "marginal"), "c": ("same", "not improved"),
         "d": ("worse", "not improved"), "e": ("better", "improved")}
+
+
+def test_training_partitions_do_not_grow_with_the_input(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(4000).repartition(10 * cores, "id")
+    few = est.few_partitions(df)
+    assert few.rdd.getNumPartitions() == cores and few.agg({"id": "sum"}).first()[0] == 4000 * 3999 // 2
+    # rounds of partitions where they would get long; frames of few partitions stay as they are
+    assert est.few_partitions(df, rows=-(-4000 // (3 * cores))).rdd.getNumPartitions() == 3 * cores
+    assert est.few_partitions(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_fits_read_few_partitions(spark, monkeypatch):
+    seen = []
+
+    class Stage:
+        def fit(self, train):
+            seen.append(train.rdd.getNumPartitions())
+
+    est.fit(spark.range(400).repartition(10 * spark.sparkContext.defaultParallelism, "id"), lambda train: Stage())
+    assert seen == [spark.sparkContext.defaultParallelism]
