@@ -283,10 +283,13 @@ def _seasons_comparison(panel: DataFrame, df: DataFrame) -> DataFrame:
 def feature_sets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge on the same split with the 58 base features, + 31 momentum, + 10 selective momentum, + 7 availability,
     + 11 pitch-mix; and with the base features over fewer against more seasons."""
-    panel = season_panel(spark, sf_dir)
+    # the panel is built once, and its features and the join once: statistics, medians and both model tables read the landed rows
+    ensure_checkpoint_dir(spark)
+    panel = season_panel(spark, sf_dir).checkpoint(eager=True)
     enriched = injury_features(momentum_features(panel, SPEC), SPEC)
     side = pitch_side(spark, sf_dir)
-    enriched = median_impute(left_join_normalized(enriched, side, name="full_name", period="season"), PITCH_COLS)
+    joined = left_join_normalized(enriched, side, name="full_name", period="season").checkpoint(eager=True)
+    enriched = median_impute(joined, PITCH_COLS)
     sets = {
         "base": FEATURES,
         "base+momentum": FEATURES + MOMENTUM_FEATURES,

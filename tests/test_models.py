@@ -81,3 +81,22 @@ def test_fits_read_few_partitions(spark, monkeypatch):
 
     est.fit(spark.range(400).repartition(10 * spark.sparkContext.defaultParallelism, "id"), lambda train: Stage())
     assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def _tables_read_by_model_tables(query, spark, monkeypatch):
+    """Whether the frames handed to ``model_table`` still hold the plan of the source tables."""
+    from panelcast.plans import q_models as q
+    real, seen = q.model_table, []
+
+    def caught(spark, sf_dir, extra=None, **more):
+        seen.append(extra is None or "l_orderkey" in extra._jdf.queryExecution().analyzed().toString())
+        return real(spark, sf_dir, extra, **more)
+
+    monkeypatch.setattr(q, "model_table", caught)
+    query(spark, "/root/testdata/sf0.001").collect()
+    return seen
+
+
+def test_feature_sets_build_the_panel_once(spark, monkeypatch):
+    from panelcast.plans import q_models as q
+    assert _tables_read_by_model_tables(q.feature_sets_q, spark, monkeypatch) == [False, False]
