@@ -313,11 +313,11 @@ def main_projection_rf_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     whose features are complete; every row of the latest season is scored, missing features
     with their median over the season panel."""
     from panelcast.operators.project import project
-    panel = season_panel(spark, sf_dir)
-    df = model_table(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    panel = season_panel(spark, sf_dir).checkpoint(eager=True)     # built once, for the model table and the scored rows
+    df = model_table(spark, sf_dir, extra=panel)
     model = est.fit(df, est.random_forest(FEATURES, T))
     latest = panel.agg(F.max("season").alias("s")).select("s").scalar()
-    panel = panel.checkpoint(eager=True)
     med = column_medians(panel, FEATURES)
     current = panel.filter(c("season") == latest).withColumns({x: F.coalesce(c(x).cast("double"), med[x], F.lit(0.0)) for x in FEATURES})
     # materialise the forest's scores once: ranking samples and re-reads its input

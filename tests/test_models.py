@@ -100,3 +100,10 @@ def _tables_read_by_model_tables(query, spark, monkeypatch):
 def test_feature_sets_build_the_panel_once(spark, monkeypatch):
     from panelcast.plans import q_models as q
     assert _tables_read_by_model_tables(q.feature_sets_q, spark, monkeypatch) == [False, False]
+
+
+def test_forest_projection_builds_the_panel_once(spark, monkeypatch):
+    from panelcast.plans import q_models as q
+    random_forest = q.est.random_forest
+    monkeypatch.setattr(q.est, "random_forest", lambda f, t: random_forest(f, t, 2, 2))
+    assert _tables_read_by_model_tables(q.main_projection_rf_q, spark, monkeypatch) == [False]
