@@ -19,6 +19,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.models.trees import HistogramTrees
 from panelcast.operators.evaluate import regression_metrics
 
 c = F.col
@@ -80,7 +81,7 @@ def random_forest(features: Sequence[str], label: str, trees: int = 100, depth:
     def make(train: DataFrame) -> Pipeline:
         rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="predicted",
                                    numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
-        return Pipeline(stages=[*_assemble(features, False), rf])
+        return Pipeline(stages=[*_assemble(features, False), HistogramTrees(rf, features)])
     return make
 
 
