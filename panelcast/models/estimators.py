@@ -91,7 +91,7 @@ def gradient_boosting(features: Sequence[str], label: str, iters: int = 100, dep
     def make(train: DataFrame) -> Pipeline:
         gb = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="predicted",
                           maxIter=iters, maxDepth=depth, stepSize=step, seed=seed)
-        return Pipeline(stages=[*_assemble(features, False), gb])
+        return Pipeline(stages=[*_assemble(features, False), HistogramTrees(gb, features)])
     return make
 
 
