@@ -29,6 +29,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.mllib.common import _java2py
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,12 @@ def bootstrap_counts(sc, rows: list[list[int]], trees: int, seed: int) -> RDD:
     return sc.union(parts).mapPartitionsWithIndex(chunked)
 
 
+def zipped(chunks: RDD, more: RDD) -> RDD:
+    """Chunks with one more part each, serialised one at a time: ``zip`` would batch a hundred of them."""
+    one = BatchedSerializer(CPickleSerializer(), 1)
+    return chunks._reserialize(one).zip(more._reserialize(one)).map(lambda pair: (*pair[0], pair[1]))
+
+
 # -- forest --------------------------------------------------------------------
 
 def forest_alone(data: RDD, cuts: list[np.ndarray], trees: int, depth: int, whole: bool) -> list[Tree]:
@@ -191,7 +198,7 @@ def _cut_lineage(data: RDD, work: RDD) -> RDD:
     predicted = work.map(lambda chunk: chunk[2])
     predicted.checkpoint()
     predicted.count()
-    return data.zip(predicted).map(lambda pair: (*pair[0], pair[1]))
+    return zipped(data, predicted)
 
 
 # -- Spark ML's model ----------------------------------------------------------
@@ -272,7 +279,7 @@ class HistogramTrees(Estimator):
         whole = all(ok for part in about for _, ok in part)
         if forest:
             counts = bootstrap_counts(sc, [[n for n, _ in part] for part in about], trees, reg.getSeed())
-            drawn = data.zip(counts).map(lambda pair: (*pair[0], pair[1])).persist(StorageLevel.MEMORY_AND_DISK)
+            drawn = zipped(data, counts).persist(StorageLevel.MEMORY_AND_DISK)
             drawn.foreachPartition(read)
             data.unpersist()
             grow = forest_alone if rows <= ALONE_ROWS else grow_forest
